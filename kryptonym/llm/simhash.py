@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -132,7 +132,7 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     n = -(-len(values) // 64) * 64
     padded = np.concatenate([values, np.full(n - len(values), values[-1], np.uint64)])
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8").astype(np.uint64)
 
 
 def linked(values: np.ndarray, radius: int = RADIUS, bits: list[int] | None = None) -> np.ndarray:
@@ -144,16 +144,15 @@ def linked(values: np.ndarray, radius: int = RADIUS, bits: list[int] | None = No
     bits = list(range(64)) if bits is None else bits
     n, label = len(values), np.arange(len(values))
     if n > LARGE and len(bits) >= 2 * (radius + 2):
+        ends = []
         for mask in keys_of(bits, radius):
             left = [b for b in bits if not mask >> b & 1]
             key = values & np.uint64(mask)
             order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.diff(key[order])) + 1
-            for run in np.split(order, cut):
-                if len(run) > 1:
-                    sub = run[linked(values[run], radius, left)]
-                    label = components(n, np.concatenate([np.arange(n), run]), np.concatenate([label, sub]))
-        return label
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [n]))
+            ends.append(order[in_runs(values[order], cut, radius, lambda _, left=left: left)])
+            label = np.concatenate([label, order])
+        return components(n, label[n:], np.concatenate(ends))
     planes = planes_of(values)
     for query, lane in within(planes, values, radius):
         real = (lane < n) & (lane > query)
@@ -161,25 +160,33 @@ def linked(values: np.ndarray, radius: int = RADIUS, bits: list[int] | None = No
     return label
 
 
+def in_runs(values: np.ndarray, cut: np.ndarray, radius: int, left: Callable[[int], list[int]]) -> np.ndarray:
+    """For runs of values (cut: their bounds), the smallest index of its run that each value reaches within it.
+
+    left(k): the bits not known to be shared in run k.
+    """
+    size = np.diff(cut)
+    run = np.repeat(np.arange(len(size)), size)
+    few = size[run] <= SMALL
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, min(SMALL, int(size.max(initial=1)))):
+        i = np.flatnonzero((run[:-lag] == run[lag:]) & few[:-lag])
+        i = i[np.bitwise_count(values[i] ^ values[i + lag]) <= radius]
+        a.append(i)
+        b.append(i + lag)
+    label = components(len(values), np.concatenate(a), np.concatenate(b))
+    for k in np.flatnonzero(size > SMALL):
+        at = np.arange(cut[k], cut[k + 1])
+        label[at] = at[linked(values[at], radius, left(k))]
+    return label
+
+
 def bucket_links(batches: Iterator[pa.RecordBatch], masks: list[int], radius: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that span each bucket's components; rows (mask's index, key, value) arrive with buckets together."""
 
     def links(mask: int, key: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
         cut = np.concatenate(([0], np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1, [len(key)]))
-        size = np.diff(cut)
-        bucket = np.repeat(np.arange(len(size)), size)
-        few = size[bucket] <= SMALL
-        a, b = [], []
-        for lag in range(1, min(SMALL, int(size.max(initial=1)))):
-            i = np.flatnonzero((bucket[:-lag] == bucket[lag:]) & few[:-lag])
-            i = i[np.bitwise_count(value[i] ^ value[i + lag]) <= radius]
-            a.append(i)
-            b.append(i + lag)
-        label = components(len(value), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(value))
-        for k in np.flatnonzero(size > SMALL):
-            at = np.arange(cut[k], cut[k + 1])
-            left = [x for x in range(64) if not masks[mask[cut[k]]] >> x & 1]
-            label[at] = at[linked(value[at], radius, left)]
+        label = in_runs(value, cut, radius, lambda k: [x for x in range(64) if not masks[mask[cut[k]]] >> x & 1])
         i = np.flatnonzero(label != np.arange(len(label)))
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(value[i].view(np.int64)), pa.array(value[label[i]].view(np.int64))], names=["a", "b"])
