@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
     z[ones + zeros < min(LEAST_ROWS, max(2, len(label) // 50))] = 0
     best = np.argsort(-z, kind="stable")[:TERMS]
-    best = best[z[best] >= min(Z, np.sqrt(len(label)) / 8)]
+    best = best[z[best] >= min(Z, np.sqrt(len(label)) / 5)]
     place[best] = np.arange(len(best))
     kept = place[bucket]
     use = kept >= 0
@@ -154,5 +154,5 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col:
             batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
             yield pd.Series(np.concatenate([np.zeros(0), *(sent.value.score(b.column(0)) for b in blocks(iter([batch])))]))
 
-    scored = F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)
+    scored = F.pandas_udf(scores, "double")
     return docs.withColumn(score_col, scored(F.col(text_col).cast("string")))
