@@ -47,17 +47,19 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir; a local folder only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one is set only where there is none, as in tests."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "kryptonym-checkpoints"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
-def lower_ascii(text: str) -> str:
-    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder of checkpoints, without their lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
