@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 # Labels, abbreviations, zones and phrases that decide what is found.
 LEGAL_FORMS = "ООО ОАО ЗАО АО ПАО НАО ГУП МУП ФГУП НКО АНО КФХ ПК ТСЖ НП".split()
@@ -31,6 +32,8 @@ ZONES = "ru рф com net org su io pro biz info me by kz".split()
 CURRENCIES = ["₽", "руб(?:лей|ля|\\.)?", "\\$", "€", "USD", "EUR", "RUB"]
 MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 
+#: Masking never makes a number longer, so this hint is looked for once in each text.
+LONG_NUMBER = r"\d{9}"
 GAP = "{0,80}?"  # the most characters between a label and its number
 
 
@@ -123,16 +126,16 @@ RULES: list[Rule] = [
         ),
         hint="адрес|г",
     ),
-    Rule("account", "СЧЁТ", ((rf"{either(ACCOUNT_LABELS)}\s*[№:\s]*", r"\d{20}", ""), ("", r"\b\d{20}\b", "")), hint=r"\d{20}"),
-    Rule("ogrn", "ОГРН", ((r"ОГРН[ИП]?\s*[:/№]?\s*", r"\d{13,15}", ""), ("", r"\b\d{15}\b", ""), ("", r"\b\d{13}\b", "")), hint=r"\d{13}"),
-    Rule("inn_fl", "ИНН_ФЛ", ((_tax, r"\d{12}", r"(?!\d)"), ("", r"\b\d{12}\b", "")), hint=r"\d{12}"),
-    Rule("inn_ul", "ИНН_ЮЛ", ((_tax, r"\d{10}", r"(?!\d)"), ("", r"\b\d{10}\b", "")), hint=r"\d{10}"),
+    Rule("account", "СЧЁТ", ((rf"{either(ACCOUNT_LABELS)}\s*[№:\s]*", r"\d{20}", ""), ("", r"\b\d{20}\b", "")), hint=LONG_NUMBER),
+    Rule("ogrn", "ОГРН", ((r"ОГРН[ИП]?\s*[:/№]?\s*", r"\d{13,15}", ""), ("", r"\b\d{15}\b", ""), ("", r"\b\d{13}\b", "")), hint=LONG_NUMBER),
+    Rule("inn_fl", "ИНН_ФЛ", ((_tax, r"\d{12}", r"(?!\d)"), ("", r"\b\d{12}\b", "")), hint=LONG_NUMBER),
+    Rule("inn_ul", "ИНН_ЮЛ", ((_tax, r"\d{10}", r"(?!\d)"), ("", r"\b\d{10}\b", "")), hint=LONG_NUMBER),
     Rule("kpp", "КПП", ((r"КПП\s*[:/№]?\s*", r"\d{9}", ""),), hint="КПП"),
-    Rule("bik", "БИК", ((rf"БИК[\s\w]{GAP}\s{{0,8}}[:/№]?\s{{0,8}}", r"\d{9}", ""), ("", r"\b04\d{7}\b", "")), hint=r"\d{9}"),
-    Rule("swift", "SWIFT", ((r"(?:SWIFT|свифт)\s*[:/]?\s*", r"[A-Z]{6}[A-Z0-9]{2,5}", ""),), any_case=True, hint="swift|свифт"),
+    Rule("bik", "БИК", ((rf"БИК[\s\w]{GAP}\s{{0,8}}[:/№]?\s{{0,8}}", r"\d{9}", ""), ("", r"\b04\d{7}\b", "")), hint=LONG_NUMBER),
+    Rule("swift", "SWIFT", ((r"(?:SWIFT|свифт)\s*[:/]?\s*", r"[A-Z]{6}[A-Z0-9]{2,5}", ""),), any_case=True, hint="[SsſСс][WwВв][IiИи]"),
     Rule("phone", "ТЕЛЕФОН", _whole(r"(?:\+7|8)[\s-]?\(?\d{3}\)?[\s-]?\d{3}[\s-]?\d{2}[\s-]?\d{2}", r"\b[78]\d{10}\b"), hint=r"[78]"),
     Rule("email", "EMAIL", _whole(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), any_case=True, hint="@"),
-    Rule("website", "САЙТ", _whole(rf"(?<![\w@./-])(?:www\.)?{_mark}(?:\.{_mark})*\.(?i:{'|'.join(ZONES)})(?![\w/?#-])(?!\.{_letter})"), hint=r"\w\.\w"),
+    Rule("website", "САЙТ", _whole(rf"(?<![\w@./-])(?:www\.)?{_mark}(?:\.{_mark})*\.(?i:{'|'.join(ZONES)})(?![\w/?#-])(?!\.{_letter})"), hint=r"\.[A-Za-zрРфФ]"),
     # A currency sign needs no word boundary after it, a currency word does.
     Rule("amount", "СУММА", _whole(rf"\d[\d\s]*(?:[,.]\d+)?\s*(?:{'|'.join(CURRENCIES[1:2] + CURRENCIES[4:])})\b|\d[\d\s]*(?:[,.]\d+)?\s*[₽$€]"), default=False, any_case=True, hint=r"\d"),
     Rule("date", "ДАТА", _whole(_date, rf"\d{{1,2}}\s+{either(MONTHS)}\s+\d{{4}}"), default=False, any_case=True, hint=r"\d"),
@@ -150,6 +153,12 @@ def chosen(enabled: set[str] | frozenset[str] | None) -> list[Rule]:
     return [r for r in RULES if r.id in use]
 
 
+@lru_cache(64)
+def compiled(enabled: frozenset[str] | None) -> list[tuple[Rule, list[re.Pattern], re.Pattern]]:
+    """(rule, patterns, hint) of the chosen rules."""
+    return [(r, r.python(), re.compile(r.hint)) for r in chosen(enabled)]
+
+
 def registry_rows() -> list[tuple]:
     """(rule_ord, pattern_ord, id, label, pattern, any_case, enabled) of every pattern."""
     return [(i, j, r.id, r.label, "".join(f"({g})" for g in p), r.any_case, r.default) for i, r in enumerate(RULES) for j, p in enumerate(r.patterns)]

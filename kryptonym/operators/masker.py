@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from kryptonym.functions import layers as L
 from kryptonym.functions.dictionary import Entry
-from kryptonym.functions.rules import chosen
+from kryptonym.functions.rules import LONG_NUMBER, compiled
 from kryptonym.functions.text import preprocess
 
 
@@ -37,7 +37,7 @@ class Masker:
 
     def __post_init__(self):
         self._known: dict[tuple[str, str], str] = {}
-        self._rules = [(r, r.python(), re.compile(r.hint, re.IGNORECASE if r.any_case else 0)) for r in chosen(self.config.enabled)]
+        self._rules = compiled(self.config.enabled)
         self._entries = [(e, e.python()) for e in self.config.dictionary]
 
     def placeholder(self, type_id: str, label: str, value: str) -> str:
@@ -56,8 +56,9 @@ class Masker:
         text = preprocess(text)
         for entry, pattern in self._entries:
             text = pattern.sub(lambda m, e=entry: self.placeholder(e.type_id, e.label, m[0]), text)
+        long_number = _long_number.search(text)
         for rule, patterns, hint in self._rules:
-            if hint.search(text):
+            if long_number if rule.hint is LONG_NUMBER else hint.search(text):
                 for pattern in patterns:
                     text = pattern.sub(lambda m, r=rule: self._kept_space(m, r), text)
         if self.config.tagger is not None and L.tagged(text):
@@ -86,6 +87,7 @@ class Masker:
         return "".join([*out, text[at:]])
 
 
+_long_number = re.compile(LONG_NUMBER)
 PASSES = 10
 
 
