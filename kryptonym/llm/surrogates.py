@@ -22,10 +22,10 @@ KINDS = ("email", "phone", "card", "ip", "iban", "ssn", "given_f", "given_m", "f
 
 EMAIL = r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
 IBAN = r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
-CARD = r"(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
+CARD = r"(?P<card>(?<![\w.+-])(?:\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-]))"
 SSN = r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
 IP = r"(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))"
-PHONE = r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w-])|(?<![\w.])\+\d{9,14}(?!\w))"
+PHONE = r"(?P<phone>(?<![\w.])(?:(?:\+\d{1,3}[ -]?)?(?:\(\d{2,4}\)[ -]?|\d{2,4}[ -])\d{2,4}(?:[ -]\d{2,4}){1,3}|\+\d{9,14}|(?:\+\d{1,3}\.)?\d{3}\.\d{3}\.\d{4})(?![\w-]|\.\d))"
 CONTACT = re.compile("|".join((EMAIL, IBAN, SSN, IP, CARD, PHONE)))
 
 GIVEN_F = "Mary Anna Emma Laura Julia Sarah Alice Clara Helen Maria Sofia Marie Camille Elise Ingrid Greta Heidi Lucia Carmen Elena Nina Olivia Paula Rosa Vera".split()

@@ -16,6 +16,7 @@ def test_mentions():
     assert [TEXT[a:b] for a, b, k, _ in S.mentions(TEXT) if k == "phone"] == ["+1 (988) 555-2485", "988-555-2485"]
     assert len({v for *_, k, v in S.mentions(TEXT) if k == "phone"}) == 1
     assert [k for k in kinds(TEXT)] == ["given_m", "family", "email", "email", "phone", "phone", "ip", "card", "ssn", "iban", "given_f", "family", "given_m", "family"]
+    assert kinds("4451718024887799 27.65.93.188 +1 (836) 555-9331 42.101.3.4 988 42.144.35.254 +1 (269) 555-3296 4524132264652876") == ["card", "ip", "phone", "ip", "ip", "phone", "card"]
     assert kinds("version 1.2.3.4.5, 2024-01-02, $1,000.00, 12:30:45, The The") == []
 
 
