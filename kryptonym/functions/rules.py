@@ -76,6 +76,7 @@ def _whole(*patterns: str) -> tuple[tuple[str, str, str], ...]:
     return tuple(("", p, "") for p in patterns)
 
 
+# The patterns, in the order in which they run.
 RULES: list[Rule] = [
     Rule(
         "company",

@@ -53,7 +53,8 @@ def native_masked(df: DataFrame, text_col: str, enabled: set[str], preprocessed:
     for rule in rules:
         out = out.withColumn(f"_k_{rule.id}", F.array().cast("array<string>"))
         for pattern in rule.java():
-            hit, p = F.col("_t").rlike(pattern), F.lit(pattern)
+            out = out.withColumn("_hit", F.col("_t").rlike(pattern))
+            hit, p = F.col("_hit"), F.lit(pattern)
             taken = {n: F.when(hit, F.regexp_extract_all("_t", p, F.lit(i))) for i, n in enumerate(("_pre", "_val", "_suf"), 1)}
             out = out.withColumns(taken | {"_gap": F.when(hit, F.split("_t", pattern, -1))})
             bare = F.transform("_val", lambda v: F.regexp_replace(v, space, ""))
