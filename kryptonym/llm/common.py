@@ -20,6 +20,9 @@ BLOCK_BYTES = 1 << 20
 #: Rows of one Arrow batch sent to a Python worker.
 ARROW_ROWS = 1000
 
+#: Links in one file of a round of connected components.
+ROWS_OF_LINKS = 100_000
+
 _shipped: set[str] = set()
 
 
@@ -174,19 +177,20 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b), longs: root is the smallest node reachable.
 
     Alternates the large-star and the small-star step; each round is checkpointed, and nothing but two
-    numbers a round reaches the driver. A hub's links are reduced by a map-side minimum, and the joins on
-    it are ones whose large partitions Spark splits.
+    numbers a round reaches the driver. A hub's links are reduced by a map-side minimum, which is checkpointed
+    by itself: the joins with it then have a plain exchange on either side, whose large partitions Spark splits.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, last = checkpointed(e), None
+    parts = min(width(e.sparkSession), 1 + e.count() // ROWS_OF_LINKS)  # a round makes no more links than it gets
     while True:
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(parts))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = checkpointed(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpointed(large.coalesce(parts))
+        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpointed(small.union(low.select("a", F.col("m").alias("b"))).distinct())
+        e = checkpointed(small.union(low.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
