@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kryptonym.shipping import ship
+
 #: Bytes of text handled by one vectorised step in a Python worker; a longer text is one step of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -23,20 +23,10 @@ ARROW_ROWS = 1000
 #: Links in one file of a round of connected components.
 ROWS_OF_LINKS = 100_000
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable on the executors and keep Arrow batches small."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="kryptonym-")) / "kryptonym_src.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(target))
-        _shipped.add(sc.applicationId)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
