@@ -216,7 +216,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     principle each link lies in one at least. A bucket is compared bit-sliced and gives links that span its
     components instead of all its pairs. component_id is the smallest id reachable, the row's own included.
 
-    Null and empty texts have fingerprint 0 and link like any other; repeated rows keep their rows; an empty
+    Null and empty texts have fingerprint 0 and link like any other; a null id names no class, so rows that link to no
+    row with an id have a null component_id; repeated rows keep their rows; an empty
     table gives none. Other columns are ignored. Returns id, fingerprint (long), component_id.
     """
     spark = df.sparkSession

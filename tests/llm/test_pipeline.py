@@ -62,3 +62,15 @@ def test_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, f in C.STAGES:
         assert f(spark, docs, sf).count() == 0
+
+
+def test_odd_rows(spark, sf):
+    """Null texts and ids, empty texts and repeated rows pass every stage; clean rows without an id stay."""
+    text = "quite an ordinary sentence that stands here alone for no reason"
+    rows = [(1, text), (1, text), (None, text + " at all"), (2, None), (3, ""), (4, text.upper()), (5, "x " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, f in C.STAGES[:-1]:
+        docs = spark.createDataFrame(f(spark, docs, sf).collect(), docs.schema)
+        ids = [r.doc_id for r in docs.collect()]
+        assert None in ids and 5 in ids, name
+    assert f(spark, docs, sf).count() and C.STAGES[-1][1](spark, docs, sf).count() >= 3
