@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kryptonym.llm import decontam, linededup, packing, simhash, toxicity
+from kryptonym.llm import decontam, linededup, neardup, packing, toxicity
 from kryptonym.llm.common import checkpoint_dir, prepare, table
 
 
@@ -27,9 +27,9 @@ def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near-duplicates; a row without an id stays."""
+    """The document of the smallest id of each class of near-duplicates (five-word shingles, Jaccard 0.8); a row without an id stays."""
     prepare(spark)
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
