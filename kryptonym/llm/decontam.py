@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding of item-sized windows, bit-sampling LSH, exact edit verification."""
+"""Benchmark decontamination: grams shared with items and aligned to their starts, exact edit verification."""
 
 from __future__ import annotations
 
@@ -20,13 +20,10 @@ LEAST_BYTES = 16
 GRAM = 8
 #: Lengths of the items of one class differ by at most this factor.
 CLASS = 1.2
-#: Symbols sampled by one hash table, and the share of passages at the radius that the tables must catch.
-SAMPLED = 8
-RECALL = 0.98
-WALKS = 2
-MOST_TABLES = 96
-#: Windows embedded at once, and bytes of texts searched at once.
-WINDOWS, SEARCHED = 1 << 14, 4 << 20
+#: Bytes between the places where windows are looked at together.
+STRIDE = 8
+#: Places of shared grams held at once, and bytes of texts searched at once.
+POSTINGS, SEARCHED = 1 << 20, 4 << 20
 #: Items of one pass over the documents, and their bytes.
 BLOCK_ITEMS, BLOCK_ITEM_BYTES = 4096, 4 << 20
 
@@ -72,39 +69,12 @@ def radius(n: int, share: float) -> int:
 
 @dataclass
 class Class:
-    """Items of similar length with their hash tables."""
+    """Items of similar length."""
 
     low: int
     high: int
     edits: int
     least: int  # grams that a passage within the radius shares with its item
-    items: np.ndarray  # indexes
-    sampled: np.ndarray  # (tables, SAMPLED) positions of the embedding
-    walk_of: np.ndarray  # (tables,) the walk each table samples
-    keys: list  # per table: sorted keys, item of each
-
-
-class Embedding:
-    """CGK: step j copies the byte at the read head and moves the head on or not, by a random bit of (j, byte)."""
-
-    def __init__(self, steps: int, seed: int):
-        self.bits = np.random.default_rng(seed).integers(0, 2, (steps, 256), np.int8)
-
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Symbols (windows, len(wanted)) at the wanted steps, ascending; past a window's end the symbol is 0."""
-        head, out = starts.astype(np.int64).copy(), np.zeros((len(starts), len(wanted)), np.uint8)
-        padded = np.concatenate([data, np.zeros(1, np.uint8)])
-        at = 0
-        for j in range(int(wanted[-1]) + 1 if len(wanted) else 0):
-            inside = head < ends
-            symbol = np.where(inside, padded[np.minimum(head, len(data))], 0)
-            if wanted[at] == j:
-                out[:, at] = symbol
-                at += 1
-                if at == len(wanted):
-                    break
-            head += self.bits[j][symbol] & inside
-        return out
 
 
 def edited(item: bytes, edits: int, rng: np.random.Generator) -> bytes:
@@ -121,106 +91,100 @@ def edited(item: bytes, edits: int, rng: np.random.Generator) -> bytes:
 
 
 class Finder:
-    """The index of one block of items: classes by length, embeddings and hash tables. Deterministic."""
+    """The index of one block of items: classes by length and the places of every gram. Deterministic."""
 
-    def __init__(self, items: list[tuple[object, str]], share: float = EDIT_SHARE, recall: float = RECALL, seed: int = 11):
+    def __init__(self, items: list[tuple[object, str]], share: float = EDIT_SHARE):
         kept = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if len(t) >= LEAST_BYTES]
         self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
         self.share = share
         self.radii = [radius(len(t), share) for t in self.texts]
         self.table = np.zeros(1 << 24, bool)
-        for t in self.texts:
-            self.table[grams(np.frombuffer(t, np.uint8))[: len(t) - GRAM + 1]] = True
+        made = [grams(np.frombuffer(t, np.uint8))[: len(t) - GRAM + 1] for t in self.texts]
+        every = np.concatenate(made) if made else np.zeros(0, np.int32)
+        self.table[every] = True
+        by = np.argsort(every, kind="stable")
+        self.post_item = np.repeat(np.arange(len(made)), [len(g) for g in made])[by]
+        self.post_at = np.concatenate([np.arange(len(g)) for g in made])[by] if made else every
+        # postings of a gram: since to until
+        self.since, self.until = np.zeros(1 << 24, np.int32), np.zeros(1 << 24, np.int32)
+        kinds, many = np.unique(every, return_counts=True)
+        self.until[kinds] = np.cumsum(many)
+        self.since[kinds] = np.cumsum(many) - many
+        self.longest = max(map(len, self.texts), default=0)
+        self.edits = np.array(self.radii, np.int64)
+        self.least = np.array([len(t) - GRAM + 1 - GRAM * e for t, e in zip(self.texts, self.radii)], np.int64)
         self.classes: list[Class] = []
-        longest = max(map(len, self.texts), default=0)
-        self.walks = [Embedding(2 * longest, seed + 1 + w) for w in range(WALKS)]
         order = sorted(range(len(self.texts)), key=lambda k: len(self.texts[k]))
         while order:
             low = len(self.texts[order[0]])
             own = [k for k in order if len(self.texts[k]) <= low * CLASS]
             order = order[len(own) :]
-            self.classes.append(self._class(np.array(own), recall, seed + len(self.classes) * 101))
-        self.highs = np.array([c.high for c in self.classes], np.int64)
-        every = [[c.sampled[c.walk_of == w].ravel() for c in self.classes] for w in range(WALKS)]
-        self.wanted = [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in every]
+            self.classes.append(self._class(own))
 
-    def _class(self, own: np.ndarray, recall: float, seed: int) -> Class:
+    def _class(self, own: list[int]) -> Class:
         lengths = [len(self.texts[k]) for k in own]
-        low, high, edits = min(lengths), max(lengths), max(self.radii[k] for k in own)
-        least = min(len(self.texts[k]) - GRAM + 1 - GRAM * self.radii[k] for k in own)
-        rng = np.random.default_rng(seed)
-        steps = 2 * low
-        every = np.arange(steps)
-
-        def embed(texts: list[bytes], walk: Embedding) -> np.ndarray:
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            ends = np.cumsum([len(t) for t in texts])
-            return walk(data, np.concatenate(([0], ends[:-1])), ends, every)
-
-        texts = [self.texts[k] for k in own]
-        clean = [embed(texts, w) for w in self.walks]
-        trial = [k for k in range(len(texts)) for _ in range(max(1, 64 // len(texts)))]
-        dirty = [edited(texts[k], self.radii[own[k]], rng) for k in trial]
-        moved = [embed(dirty, w) for w in self.walks]
-        # Symbols that edits move least are sampled most: earlier steps. Tables are added until the trial edits are caught.
-        share = np.mean([(a[trial] == b).mean(0) for a, b in zip(clean, moved)], axis=0) ** 2 + 1e-6
-        missed, tables, walk_of = np.ones(len(trial), bool), [], []
-        while len(tables) < MOST_TABLES and (missed.mean() > 1 - recall or len(tables) < 24):
-            w = len(tables) % WALKS
-            # a table samples near one place, so that a stretch without edits is enough
-            center = int(rng.integers(steps))
-            span = np.arange(max(0, center - 32), min(steps, center + 32))
-            at = np.sort(rng.choice(span, SAMPLED, replace=False, p=share[span] / share[span].sum()))
-            tables.append(at)
-            walk_of.append(w)
-            missed &= ~(clean[w][trial][:, at] == moved[w][:, at]).all(1)
-        keys = []
-        for at, w in zip(tables, walk_of):
-            key = np.ascontiguousarray(clean[w][:, at]).view("<u8")[:, 0]
-            by = np.argsort(key, kind="stable")
-            keys.append((key[by], own[by]))
-        return Class(low, high, edits, least, own, np.array(tables), np.array(walk_of), keys)
-
-    def windows(self, offsets: np.ndarray, heads: np.ndarray, of: np.ndarray, sums: np.ndarray, c: Class) -> np.ndarray:
-        """Starts (indexes into heads) of windows that hold enough grams of items to be within some item's radius."""
-        ends = np.minimum(heads + c.high + c.edits, offsets[of + 1])
-        return np.flatnonzero((sums[ends] - sums[heads] >= c.least) & (ends - heads >= c.low - c.edits))
+        return Class(min(lengths), max(lengths), max(self.radii[k] for k in own), int(min(self.least[k] for k in own)))
+
+    def regions(self, offsets: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """(begin, end) byte ranges that hold all windows, from any byte on, with enough grams of items for some item's radius."""
+        n = len(sums) - 1
+        heads = np.arange(0, n, STRIDE)
+        spans = []
+        for c in self.classes:
+            # a window that begins within the stride lies in [head, head + STRIDE + high + edits)
+            ends = np.minimum(heads + STRIDE + c.high + c.edits, n)
+            some = heads[sums[ends] - sums[heads] >= c.least]
+            spans.append(np.stack([some, np.minimum(some + STRIDE + c.high + c.edits, n)], 1))
+        spans = np.concatenate(spans)
+        if not len(spans):
+            return spans
+        spans = spans[np.argsort(spans[:, 0], kind="stable")]
+        reach = np.maximum.accumulate(spans[:, 1])
+        new = np.flatnonzero(np.concatenate(([True], spans[1:, 0] > reach[:-1])))
+        return np.stack([spans[new, 0], reach[np.concatenate((new[1:] - 1, [len(spans) - 1]))]], 1)
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, start, item) of windows that share a hash table's key with the item."""
+        """(text, start, item) near which a passage may lie within the item's radius; none is missed.
+
+        A gram shared at offset o of the item and position p of the text puts the passage's start at p - o, off by
+        at most the radius. A passage within the radius shares least grams so.
+        """
         n = len(data)
         if not n or not self.texts:
             return []
-        space = data == 32
-        head = np.ones(n, bool)
-        head[1:] = space[:-1]
-        head &= ~space
-        begin = offsets[:-1]
-        begin = begin[begin < n]
-        head[begin] |= ~space[begin]
-        heads = np.flatnonzero(head)
-        of = np.searchsorted(offsets, heads, side="right") - 1
+        own = grams(data)
+        hit = self.table[own]
         sums = np.zeros(n + 1, np.int32)
-        np.cumsum(self.table[grams(data)], out=sums[1:])
+        np.cumsum(hit, out=sums[1:])
+        regions = self.regions(offsets, sums)
         found: set[tuple[int, int, int]] = set()
-        passed = [self.windows(offsets, heads, of, sums, c) for c in self.classes]
-        kind = np.repeat(np.arange(len(passed)), [len(p) for p in passed])
-        part = np.concatenate(passed)
-        for at in range(0, len(part), WINDOWS):
-            own, cls = part[at : at + WINDOWS], kind[at : at + WINDOWS]
-            starts = heads[own]
-            ends = np.minimum(starts + self.highs[cls], offsets[of[own] + 1])
-            for w, walk in enumerate(self.walks):
-                wanted = self.wanted[w]
-                symbols = walk(data, starts, ends, wanted)
-                for k in np.unique(cls):
-                    c, rows = self.classes[k], np.flatnonzero(cls == k)
-                    for t in np.flatnonzero(c.walk_of == w):
-                        key = np.ascontiguousarray(symbols[np.ix_(rows, np.searchsorted(wanted, c.sampled[t]))]).view("<u8")[:, 0]
-                        known, items = c.keys[t]
-                        low, high = np.searchsorted(known, key), np.searchsorted(known, key, side="right")
-                        for r in np.flatnonzero(high > low):
-                            found.update((int(of[own[rows[r]]]), int(starts[rows[r]]), int(i)) for i in items[low[r] : high[r]])
+        at = 0
+        while at < len(regions):
+            # regions together, up to as many postings as are held at once
+            to, pos, many = at, [], 0
+            while to < len(regions) and (to == at or many < POSTINGS):
+                more = regions[to, 0] + np.flatnonzero(hit[regions[to, 0] : regions[to, 1]])
+                pos.append(more)
+                many += int((self.until[own[more]] - self.since[own[more]]).sum())
+                to += 1
+            at = to
+            p = np.concatenate(pos)
+            count = self.until[own[p]] - self.since[own[p]]
+            begin = self.since[own[p]]
+            k = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            item = self.post_item[k].astype(np.int64)
+            where = np.repeat(p, count)
+            text = np.searchsorted(offsets, where, side="right") - 1
+            start = where - self.post_at[k]
+            order = np.lexsort((start, item, text))
+            text, item, start = text[order], item[order], start[order]
+            # one number ascending over (text, item, start): starts of one text and item in a row
+            run = np.cumsum(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])))) - 1 if len(text) else text
+            line = run * (4 * (n + self.longest + 1)) + start + self.longest
+            most = self.edits[item]
+            near = np.searchsorted(line, line + 2 * most, side="right") - np.searchsorted(line, line - 2 * most)
+            ok = np.flatnonzero(near >= self.least[item])
+            found.update(zip(text[ok].tolist(), start[ok].tolist(), item[ok].tolist()))
         return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
     def found(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -231,12 +195,12 @@ class Finder:
             text, start, item = held[k]
             pattern, most = self.texts[item], self.radii[item]
             best = None
-            low, stop = start - most, start + len(pattern) + 2 * most
+            low, stop = start - 2 * most, start + len(pattern) + 3 * most
             while True:  # candidates of one text and item, nearby ones together
                 k += 1
                 more = k < len(held) and held[k][0] == text and held[k][2] == item
                 if more and held[k][1] <= stop:
-                    stop = held[k][1] + len(pattern) + 2 * most
+                    stop = held[k][1] + len(pattern) + 3 * most
                     continue
                 a, b = max(int(offsets[text]), low), min(int(offsets[text + 1]), stop)
                 edits, end = closest(pattern, raw[a:b])
@@ -246,7 +210,7 @@ class Finder:
                     best = (edits, a + end - back, a + end)
                 if not more:
                     break
-                low, stop = held[k][1] - most, held[k][1] + len(pattern) + 2 * most
+                low, stop = held[k][1] - 2 * most, held[k][1] + len(pattern) + 3 * most
             if best:
                 out.append((text, item, *best))
         return out
@@ -284,14 +248,13 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
     yield block
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = EDIT_SHARE, recall: float = RECALL) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = EDIT_SHARE) -> DataFrame:
     """Passages of the benchmark's items in whole texts: id, item, edits, similarity, start, end (code points).
 
     Case of ASCII and Latin-1 letters and the kind and length of white space don't count. A passage of an item of n bytes is
-    reported within share * n edits, once for each text and item, where it is closest. At each word of a text
-    starts a window of the items' size. By the q-gram lemma a window within the radius shares a minimum of grams
-    with the items; only such windows are embedded (CGK). Sampled symbols of the embedding are looked up in hash
-    tables, whose number follows from trial edits and the target recall; candidates are verified exactly.
+    reported within share * n edits, once for each text and item, where it is closest. By the
+    q-gram lemma a passage within the radius shares a minimum of grams with its item, all of them at about the same
+    shift; wherever in the text that holds, at a word's head or not, the passage is verified exactly, so none is missed.
 
     The items are sent to the workers in blocks of BLOCK_ITEMS and BLOCK_ITEM_BYTES, each a pass over all rows.
     Null and empty texts hold nothing; null items and items under LEAST_BYTES are never found; repeated rows
@@ -303,7 +266,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def over(block: list[tuple[object, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast((block, share, recall))
+        sent = spark.sparkContext.broadcast((block, share))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = finder_of(sent)
@@ -334,11 +297,11 @@ _finders: dict = {}
 
 def finder_of(sent) -> Finder:
     """The index of a broadcast block, built once in each worker."""
-    block, share, recall = sent.value
-    key = (len(block), hash(tuple(block)), share, recall)
+    block, share = sent.value
+    key = (len(block), hash(tuple(block)), share)
     if key not in _finders:
         _finders.clear()
-        _finders[key] = Finder(block, share, recall)
+        _finders[key] = Finder(block, share)
     return _finders[key]
 
 

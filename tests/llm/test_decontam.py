@@ -106,3 +106,19 @@ def test_query(spark, sf):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
     out = queries.QUERIES["op10_decontamination"](spark, sf).collect()
     assert {(r.doc_id, r.item_id) for r in out if r.edits == 0} == {(d, i) for d, t in docs.items() for i, x in items.items() if D.normal(x) in D.normal(t)}
+
+
+def test_passages_anywhere(items):
+    """Exact and edited passages behind glued punctuation, markup and letters, and in a script without spaces."""
+    rng = np.random.default_rng(5)
+    chinese = ["".join(map(chr, rng.integers(0x4E00, 0x5000, int(rng.integers(12, 60))))) for _ in range(20)]
+    finder = D.Finder([*items[:30], *enumerate(chinese, 100)])
+    glue = ['"', "<p>", "](https://some.where/else)", "Q:", "x" * 20, "«", "—"]
+    for k, text in enumerate(finder.texts):
+        for n, edits in enumerate((0, 0, 0, finder.radii[k], finder.radii[k])):
+            passage = D.edited(text, edits, rng)
+            before = (chinese[(k + 1) % 20] if k >= 30 else sentence(rng, 20) + " ").encode() + glue[int(rng.integers(7))].encode()
+            raw = np.frombuffer(before + passage + "。后来".encode() + sentence(rng, 5).encode(), np.uint8)
+            data, offsets, _ = D.normalised(raw, np.array([0, len(raw)]))
+            got = {i: e for _, i, e, _, _ in finder.found(data, offsets)}
+            assert got.get(k) == D.closest(text, data.tobytes())[0] <= edits, (k, n)
