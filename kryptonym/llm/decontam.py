@@ -14,6 +14,8 @@ from .common import as_bytes, blocks, checkpointed, prepare
 
 #: An item is found if a passage is within this share of the item's bytes in edits.
 EDIT_SHARE = 0.06
+#: Edits allowed for a short item all the same: an exchanged word of nine letters.
+WORD_EDITS = 9
 #: Items of fewer bytes after normalisation are too short to tell from common phrases; they are never found.
 LEAST_BYTES = 16
 #: Bytes of the grams by which windows that can't be within the radius are set aside.
@@ -63,8 +65,8 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def radius(n: int, share: float) -> int:
-    """Edits allowed for an item of n bytes; so few that a passage within them keeps one gram at least."""
-    return max(0, min(int(share * n), (n - GRAM) // GRAM))
+    """Edits allowed for an item of n bytes, a word at least; so few that a passage within them keeps one gram at least."""
+    return max(0, min(max(int(share * n), WORD_EDITS), (n - GRAM) // GRAM))
 
 
 @dataclass
@@ -252,7 +254,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """Passages of the benchmark's items in whole texts: id, item, edits, similarity, start, end (code points).
 
     Case of ASCII and Latin-1 letters and the kind and length of white space don't count. A passage of an item of n bytes is
-    reported within share * n edits, once for each text and item, where it is closest. By the
+    reported within share * n edits or WORD_EDITS if more, once for each text and item, where it is closest. By the
     q-gram lemma a passage within the radius shares a minimum of grams with its item, all of them at about the same
     shift; wherever in the text that holds, at a word's head or not, the passage is verified exactly, so none is missed.
 
