@@ -15,9 +15,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 3e-5 at 0.8.
 BANDS, ROWS = 20, 4
-#: Nodes of a bucket up to which all its pairs are candidates; in a larger one each is paired with the next in a random order.
+#: Nodes of a bucket up to which all its pairs are candidates; in a larger one each is paired with the NEXT in a random order.
 SMALL = 16
-#: The next nodes that each is paired with in rounds over large buckets that still hold several classes.
 NEXT = 4
 SEED = 42
 
@@ -101,7 +100,7 @@ def shingle_sets(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "node long, held binary")
 
 
-def candidate_pairs(batches: Iterator[pa.RecordBatch], next_: int = 1) -> Iterator[pa.RecordBatch]:
+def candidate_pairs(batches: Iterator[pa.RecordBatch], next_: int = NEXT) -> Iterator[pa.RecordBatch]:
     """Pairs (a < b) of rows (key, order, node, root) with buckets (key) together, none of one root.
 
     All pairs of a bucket of up to SMALL nodes, and in a larger one each node with the next_ ones by order: linear in the rows.
@@ -161,8 +160,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The class of near-duplicates of every row: texts link where their distinct word shingles have the Jaccard similarity.
 
     Equal sets of shingles are one node. Nodes that share a band of minhashes are candidates, and each link is verified on the
-    sets. A large bucket pairs neighbours of a random order, another one for each band; nodes of a large bucket
-    that are in different classes by then are paired in new orders until a round links nothing. component_id is the
+    sets. A large bucket pairs NEXT neighbours of a random order, another one for each band; nodes of a large bucket
+    that are in different classes by then are paired with SMALL neighbours of new orders until a round links nothing. component_id is the
     smallest id reachable, the row's own included.
 
     Null and empty texts are one class; rows that link to no row with an id have a null component_id; repeated rows keep
@@ -187,7 +186,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             some = some.join(mixed_, "key", "left_semi")
         some = some.select("key", F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node", "root")
         ordered = some.repartition(width(spark), "key").sortWithinPartitions("key", "order")
-        pairs = ordered.mapInArrow(lambda batches, n=NEXT if turn else 1: candidate_pairs(batches, n), "a long, b long").distinct()
+        pairs = ordered.mapInArrow(lambda batches, n=SMALL if turn else NEXT: candidate_pairs(batches, n), "a long, b long").distinct()
         new = checkpointed(similar(pairs, sets, similarity))
         if turn and new.isEmpty():
             break
