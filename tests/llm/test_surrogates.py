@@ -74,3 +74,14 @@ def test_query(spark, sf):
         assert not any(m in r.text for m in found)
         assert kinds(r.text) == kinds(docs[r.doc_id]) and len(kinds(r.text)) == r.n_entities
     assert mails
+
+
+def test_hint_misses_no_mention():
+    """Names beside any quote, dash or space are read, so are other digits and IBANs of two digits."""
+    import pyarrow as pa
+
+    bare = ["Mary Smith", "Иван Петров", "Monsieur Dupont", "Mr. Brown", "GB12ABCDEFGHIJKL", "١٢٣-٤٥٦-٧٨٩٠"]
+    texts = [f"{a}{x}{b}" for x in bare for a, b in ("“”", "«»", "‘’", "——", "  ", "()", "„“", "，。")]
+    assert all(S.mentions(x) for x in texts)
+    assert S.worth_reading(pa.array(texts)).all()
+    assert not S.worth_reading(pa.array(["", "nothing here 123", "«»"])).any()
