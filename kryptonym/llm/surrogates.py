@@ -112,7 +112,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         script = CYRILLIC if re.match("[а-яё]", value) else LATIN
         names = script[kind]
         out = names[r.below(len(names))]
-        for _ in range(attempt if attempt < 3 else 3):
+        for _ in range(attempt):
             out += "-" + names[r.below(len(names))]
         if kind == "family" and script is CYRILLIC and re.search("(ова|ева|ина)$", value):
             out = out.replace("ов", "ова").replace("ев", "ева") if "-" not in out else "-".join(x + "а" for x in out.split("-"))
@@ -211,7 +211,8 @@ def attempts_of(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFr
     """(kind, value, attempt) for distinct entities, such that all surrogates of a kind are distinct and none is an original.
 
     In each round the entity of the lowest attempt, then value, keeps a surrogate that several want; the others,
-    and those whose surrogate is somebody's value, try again. It ends when nobody has to.
+    and those whose surrogate is somebody's value, try again. It ends when nobody has to. Names gain a part with each
+    attempt, so their rounds always end; other kinds have the space of their format and `rounds` rounds.
     """
 
     def made(kinds: pd.Series, values: pd.Series, tries: pd.Series) -> pd.Series:
@@ -220,7 +221,8 @@ def attempts_of(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFr
     make = F.pandas_udf(made, "string")
     state = checkpointed(entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0)))
     kind_of = F.when(F.col("kind").isin("given_f", "given_m"), F.lit("given")).otherwise(F.col("kind"))
-    for _ in range(rounds):
+    done = 0
+    while True:
         wanted = state.withColumn("made", make("kind", "value", "attempt")).withColumn("class", kind_of)
         originals = state.select(kind_of.alias("class"), F.col("value").alias("made")).distinct().withColumn("real", F.lit(True))
         place = F.row_number().over(Window.partitionBy("class", "made").orderBy("attempt", "value", "kind"))
@@ -229,8 +231,10 @@ def attempts_of(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFr
         state = checkpointed(judged.select("kind", "value", F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), again.alias("again")))
         if state.where("again").isEmpty():
             return state.select("kind", "value", "attempt")
+        done += 1
+        if done >= rounds and not state.where(F.col("again") & ~F.col("kind").isin(*LATIN)).isEmpty():
+            raise ValueError("surrogates stay in conflict: the kinds' values outnumber what their formats can tell apart")
         state = state.select("kind", "value", "attempt")
-    raise ValueError("surrogates stay in conflict: the kinds' values outnumber what their formats can tell apart")
 
 
 def pseudonymise(df: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

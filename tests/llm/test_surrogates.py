@@ -85,3 +85,13 @@ def test_hint_misses_no_mention():
     assert all(S.mentions(x) for x in texts)
     assert S.worth_reading(pa.array(texts)).all()
     assert not S.worth_reading(pa.array(["", "nothing here 123", "«»"])).any()
+
+
+def test_more_names_than_four_parts_tell_apart(spark):
+    """12,000 Cyrillic surnames: ten names joined four times are 10,000."""
+    letters = "абвгдежзик"
+    names = ["б" + "".join(letters[i // 10**k % 10] for k in range(5)) for i in range(12_000)]
+    found = spark.createDataFrame([(k, "family", x) for k, x in enumerate(names)], "id long, kind string, value string")
+    rows = S.attempts_of(found, b"k").collect()
+    made = {S.surrogate(b"k", "family", r.value, r.attempt) for r in rows}
+    assert len(rows) == len(made) == 12_000 and not made & set(names)
