@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, checkpointed
+from .common import RollingHash, as_bytes, blocks, checkpointed, word_spans
 
 WINDOW = 4096
 #: Open windows of a partition.
@@ -23,67 +24,214 @@ LEAST_CUT = 32
 END_ID = 2
 #: Partitions whose last windows are merged together.
 MERGED = 64
-#: Words whose ids a worker remembers.
-MEMORY = 400_000
+#: Units whose ids each of a worker's two generations remembers; a unit of more than LONG bytes is never remembered.
+MEMORY, LONG = 1_000_000, 64
 
 
-class WordIds:
-    """Token ids of texts by a tokenizer whose words never reach across ASCII white space, word by word.
+class Memory:
+    """Ids of byte strings by their 64-bit hash: an open-addressed table over one flat array of ids."""
 
-    The ids of a word are remembered, so that a frequent word costs one look-up. A new word of plain letters,
-    digits and punctuation is cut as the tokenizer's own pattern cuts it and only its units are encoded; any
-    other word goes through the whole tokenizer. Both give what the tokenizer gives for the whole text.
+    def __init__(self, room: int = 1 << 12):
+        self.keys, self.places = np.zeros(room, np.uint64), np.zeros(room, np.int32)
+        self.n, self.used = 0, 0
+        self.ends = np.zeros(room // 2 + 1, np.int64)
+        self.ids = np.zeros(room, "<u4")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not held. No key is 0."""
+        mask = np.uint64(len(self.keys) - 1)
+        slot = (keys & mask).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot]
+            same = held == keys[left]
+            out[left[same]] = self.places[slot[same]]
+            more = ~same & (held != 0)
+            left, slot = left[more], (slot[more] + 1) & int(mask)
+        return out
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct new keys with their ids, one after the other in `ids`."""
+        while 2 * (self.n + len(keys)) > len(self.keys):
+            old = self.keys != 0
+            kept, places = self.keys[old], self.places[old]
+            self.keys, self.places = np.zeros(2 * len(self.keys), np.uint64), np.zeros(2 * len(self.places), np.int32)
+            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends) - 1, np.int64)])
+            self._place(kept, places)
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), "<u4")])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(keys)] = self.used + np.cumsum(counts)
+        self._place(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n, self.used = self.n + len(keys), self.used + len(ids)
+
+    def _place(self, keys: np.ndarray, places: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        slot = (keys & np.uint64(mask)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            self.keys[slot[free]], self.places[slot[free]] = keys[free], places[free]
+            lost = self.keys[slot] != keys
+            keys, places, slot = keys[lost], places[lost], (slot[lost] + 1) & mask
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each place has, all of them one after the other)."""
+        begin, count = self.ends[places], self.ends[places + 1] - self.ends[places]
+        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return count, self.ids[at]
+
+
+class TextIds:
+    """Token ids of texts by a tokenizer that lower-cases, drops white space and cuts words as PATTERN does.
+
+    The bytes of a block are cut into units as the tokenizer's own pattern cuts them: runs of letters, single digits,
+    runs of punctuation. A word (between ASCII white space) with an apostrophe, a special token's `<|`, a control
+    character or any character beyond the Latin-1 letters is one unit and goes through the whole tokenizer. Ids
+    of units are remembered by hash in two generations of at most MEMORY units: what is looked up again in the older
+    one moves to the newer, so frequent units are never forgotten. Units over LONG bytes are never remembered.
+    A tokenizer file of another make encodes whole texts by its library.
     """
 
-    SAFE = re.compile("[a-zß-öø-ÿ0-9!-&(-/:-@\\[-`{-~]+\\Z")
-    UNITS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\\[-`{-~]+")
+    # What the tokenizer's file says of normalising and cutting.
+    PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    CUTTERS = [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    WORD_END = "</w>"
+
+    SPACES, LETTER, DIGIT, SIGN, ODD = range(5)
+    KIND = np.full(256, ODD, np.uint8)
+    KIND[33:127] = SIGN
+    KIND[48:58] = DIGIT
+    KIND[97:123] = LETTER
+    KIND[[9, 10, 11, 12, 13, 32]] = SPACES
+    KIND[39] = ODD
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        spec = json.loads(Path(path).read_text(encoding="utf-8"))
+        model = spec["model"]
         self.whole = Tokenizer.from_file(path)
+        normal, cut = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+        self.known = normal.get("normalizers") == self.NORMALIZERS and cut.get("pretokenizers") == self.CUTTERS and model.get("type") == "BPE" and model.get("end_of_word_suffix") == self.WORD_END and not model.get("dropout") and all("<|" in x["content"] for x in spec["added_tokens"])
+        if not self.known:
+            return
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
-        self.words: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > MEMORY:
-            self.words = {}
-        if len(self.units) > MEMORY:
-            self.units = {}
-        cut, odd = {}, []
-        for w in words:
-            low = w.decode("utf-8", "replace").lower()
-            if self.SAFE.match(low) and "<|" not in low:
-                cut[w] = self.UNITS.findall(low)
-            else:
-                odd.append(w)
-        new = list({u for units in cut.values() for u in units} - self.units.keys())
-        coded = [u if u.isascii() else u.encode().decode("latin-1").translate(self.letters) for u in new]
-        known = self.units
-        for u, e in zip(new, self.bare.encode_batch_fast(coded, add_special_tokens=False)):
-            known[u] = np.array(e.ids, "<u4").tobytes()
-        for w, units in cut.items():
-            self.words[w] = known[units[0]] if len(units) == 1 else b"".join([known[u] for u in units])
-        for w, e in zip(odd, self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.is_end = np.zeros(1 + max(model["vocab"].values()), bool)
+        self.is_end[[i for t, i in model["vocab"].items() if t.endswith(self.WORD_END)]] = True
+        self.young, self.old = Memory(), Memory()
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, lower-cased where the unit is plain; starts; ends; text of each unit; whether it is odd)."""
+        n = len(data)
+        low = data.copy()
+        low[(data >= 65) & (data <= 90)] += 32
+        kind = self.KIND[low]
+        lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+        if len(lead):
+            tail = data[lead + 1]
+            letter = (tail & 0xC0 == 0x80) & (tail & 0xDF != 0x97)
+            lead, tail = lead[letter], tail[letter]
+            kind[lead] = kind[lead + 1] = self.LETTER
+            low[lead[tail < 0x9F] + 1] += 32  # U+00C0 to U+00DE
+        kind[:-1][(data[:-1] == 60) & (data[1:] == 124)] = self.ODD
+        starts, ends, row = word_spans(data, offsets)
+        odd_before = np.concatenate(([0], np.cumsum(kind == self.ODD, dtype=np.int32)))
+        odd = odd_before[ends] > odd_before[starts]
+        # a plain word begins a unit at every digit and wherever the kind changes
+        cut = np.zeros(n, bool)
+        cut[1:] = kind[1:] != kind[:-1]
+        cut |= kind == self.DIGIT
+        cut &= kind != self.SPACES
+        for s, e in zip(starts[odd].tolist(), ends[odd].tolist()):
+            cut[s:e] = False
+            low[s:e] = data[s:e]
+        cut[starts] = True
+        first = np.flatnonzero(cut)
+        word = np.searchsorted(starts, first, side="right") - 1
+        last = np.minimum(ends[word], np.append(first[1:], n))
+        return low, first, last, row[word], odd[word]
+
+    def encoded(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each unit has, all of them one after the other), by the tokenizer."""
+        counts, parts = np.zeros(len(starts), np.int64), [np.zeros(0, "<u4")] * len(starts)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            joined = b" ".join([raw[s:e] for s, e in zip(starts[plain].tolist(), ends[plain].tolist())]).decode("utf-8")
+            ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.is_end[ids]) + 1
+            counts[plain] = np.diff(stop, prepend=0)
+            if len(plain) == len(starts):
+                return counts, ids
+            for k, a, b in zip(plain.tolist(), (stop - counts[plain]).tolist(), stop.tolist()):
+                parts[k] = ids[a:b]
+        strange = np.flatnonzero(odd).tolist()
+        words = [raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in strange]
+        for k, e in zip(strange, self.whole.encode_batch_fast(words, add_special_tokens=False)):
+            parts[k] = np.array(e.ids, "<u4")
+            counts[k] = len(parts[k])
+        return counts, np.concatenate(parts) if parts else np.zeros(0, "<u4")
+
+    def of_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(little-endian unsigned 32-bit ids of all texts, offsets of each text in them)."""
+        if not self.known:
+            raw = data.tobytes()
+            made = self.whole.encode_batch_fast([raw[s:e].decode("utf-8", "replace") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())], add_special_tokens=False)
+            return np.concatenate([np.zeros(0, "<u4"), *(np.array(x.ids, "<u4") for x in made)]), np.cumsum([0, *(len(x.ids) for x in made)])
+        low, starts, ends, row, odd = self.units(data, offsets)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        keys = RollingHash(low).of(starts, ends) | np.uint64(1)
+        long = ends - starts > LONG
+        keys[long] = np.arange(1, 1 + int(long.sum()), dtype=np.uint64) << np.uint64(1)  # even: each by itself
+        kinds, example, which = np.unique(keys, return_index=True, return_inverse=True)
+        place = self.young.find(kinds)
+        again = np.flatnonzero(place < 0)
+        older = self.old.find(kinds[again])
+        moved, new = again[older >= 0], again[older < 0]
+        if len(moved):
+            place[moved] = np.arange(self.young.n, self.young.n + len(moved))
+            self.young.add(kinds[moved], *self.old.of(older[older >= 0]))
+        raw = low.tobytes()
+        counts, ids = self.encoded(raw, starts[example[new]], ends[example[new]], odd[example[new]])
+        place[new] = np.arange(self.young.n, self.young.n + len(new))
+        self.young.add(kinds[new], counts, ids)
+        count, out = self.young.of(place[which])
+        if self.young.n >= MEMORY or len(kinds) and kinds[0] & np.uint64(1) == 0:
+            self._age()
+        tokens = np.concatenate(([0], np.cumsum(count)))
+        return out, tokens[np.searchsorted(row, np.arange(len(offsets)))]
+
+    def _age(self) -> None:
+        """The young generation becomes the old one; long units are left behind."""
+        kept = self.young
+        some = np.flatnonzero((kept.keys & np.uint64(1)) == 1)
+        if self.young.n < MEMORY:  # only long units have to go
+            self.young = Memory()
+            self.young.add(kept.keys[some], *kept.of(kept.places[some]))
+            return
+        self.old, self.young = Memory(), Memory()
+        self.old.add(kept.keys[some], *kept.of(kept.places[some]))
 
     def of(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.words.keys()
-        if new:
-            held = self.words
-            self.learn(new)
-            if self.words is not held:  # the memory was emptied
-                self.learn(set().union(*split) - self.words.keys())
-        return [b"".join(map(self.words.__getitem__, s)) for s in split]
+        """Ids of each text as bytes."""
+        ids, at = self.of_block(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        raw = ids.tobytes()
+        return [raw[4 * s : 4 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+_encoders: dict[str, TextIds] = {}
+
+
+def encoder_of(path: str) -> TextIds:
+    """The encoder of a file with what it remembers, one in each worker process."""
+    if path not in _encoders:
+        _encoders[path] = TextIds(path)
+    return _encoders[path]
 
 
 class Packer:
@@ -183,7 +331,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "is_open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer)
+        encoder = encoder_of(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 32, window, open_)
 
         def rows(kinds):
@@ -193,10 +341,10 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
 
         kinds = [pa.int64()] * 7 + [pa.bool_()]
         for block in blocks(batches, most=2 << 20):
-            data, at = as_bytes(block.column(1))
-            raw, kinds[0] = data.tobytes(), block.column(0).type
-            for doc, found in zip(block.column(0).to_pylist(), ids.of([raw[s:e] for s, e in zip(at[:-1].tolist(), at[1:].tolist())])):
-                packer.put(doc, found + end)
+            found, at = encoder.of_block(*as_bytes(block.column(1)))
+            raw, kinds[0] = found.tobytes(), block.column(0).type
+            for doc, s, e in zip(block.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                packer.put(doc, raw[4 * s : 4 * e] + end)
             if packer.done:
                 yield rows(kinds)
         packer.finish()

@@ -19,7 +19,7 @@ def whole():
 
 @pytest.fixture(scope="module")
 def words():
-    return packing.WordIds(PATH)
+    return packing.TextIds(PATH)
 
 
 def plain(whole, text):
@@ -43,9 +43,28 @@ def test_ids_of_any_text(whole, words, text):
 
 def test_memory_is_bounded(whole, monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 5)
-    words = packing.WordIds(PATH)
-    for text in ("a b c d", "e f g h", "a z y"):
+    words = packing.TextIds(PATH)
+    for text in ("a b c d", "e f g h", "a z y", "x" * 300 + " a " + "x" * 300, "a e x", ""):
         assert words.of([text.encode()])[0] == plain(whole, text)
+        assert words.young.n <= 5 and words.old.n <= 9
+
+
+def test_many_units_and_texts(whole, words):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCé É0123456789.,!-'<|>«Ж\n\t ")
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 400)))) for _ in range(300)]
+    for part in (texts, texts[::-1]):
+        assert words.of([t.encode() for t in part]) == [plain(whole, t) for t in part]
+
+
+def test_another_tokenizer():
+    """A file with another normaliser and pattern encodes as its library does."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = packing.TextIds(path)
+    library = Tokenizer.from_file(path)
+    assert not other.known
+    for text in TEXTS:
+        assert other.of([text.encode()])[0] == plain(library, text)
 
 
 @pytest.mark.parametrize("seed", range(6))
