@@ -48,14 +48,75 @@ def test_links(n, seeds, radius):
     assert (simhash.linked(np.array(values, np.uint64), radius) == plain_components(values, radius)).all()
 
 
-def test_masks_meet_every_pair():
+@pytest.mark.parametrize("blocks", (None, 7, 8))
+def test_masks_meet_every_pair(blocks):
     rng = np.random.default_rng(3)
-    masks = simhash.keys_of(list(range(64)), 4)
+    masks = simhash.keys_of(list(range(64)), 4, blocks)
     for _ in range(300):
         flip = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
         assert any(flip & m == 0 for m in masks)
 
 
+def test_blocks_follow_the_number_of_values():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**9, 10**10, 10**12)] == [6, 6, 7, 8]
+    for n in (10**3, 10**10, 10**12):
+        fewest = min(bin(m).count("1") for m in simhash.keys_of(list(range(64)), 4, simhash.blocks_for(n, 4)))
+        assert n >> fewest <= simhash.LARGE
+
+
+@pytest.mark.parametrize("radius", (0, 1, 4, 7, 8, 20, 31))
+def test_bit_sliced_distances(radius, monkeypatch):
+    """Any lanes of any words, in cells of any number, against a population count."""
+    rng = np.random.default_rng(radius)
+    values = np.array(family(rng, 300, 6), np.uint64)
+    low = rng.integers(0, 300, 90)
+    high = np.minimum(300, low + rng.integers(0, 200, 90))
+    query = values[rng.integers(0, 300, 90)]
+    for cells in (7, 1 << 15):
+        monkeypatch.setattr(simhash, "CELLS", cells)
+        got = {(int(q), int(x)) for qs, xs in simhash.within(simhash.planes_of(values), query, low, high, radius) for q, x in zip(qs, xs)}
+        assert got == {(q, x) for q in range(90) for x in range(low[q], high[q]) if bin(int(query[q]) ^ int(values[x])).count("1") <= radius}
+
+
+def test_planes_decide_the_links_of_documents(spark, sf, monkeypatch):
+    """Every link of the query's own buckets comes out of `within`."""
+    import pyarrow as pa
+
+    texts = [r.text for r in spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("text").limit(3000).collect()]
+    values = np.unique(np.array([simhash.fingerprint((t or "").encode()) for t in texts], np.uint64))
+    seen, real = [], simhash.within
+
+    def watched(*args):
+        for q, lane in real(*args):
+            seen.append(len(q))
+            yield q, lane
+
+    monkeypatch.setattr(simhash, "within", watched)
+    links = []
+    for mask in simhash.keys_of(list(range(64)), 4):
+        key = values & np.uint64(mask)
+        order = np.lexsort((values, key))
+        batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(order), simhash.signed(mask))), pa.array(key[order].view(np.int64)), pa.array(values[order].view(np.int64))], names=["m", "k", "v"])
+        parts = [batch.slice(i, 700) for i in range(0, batch.num_rows, 700)]
+        links += [(a, b) for out in simhash.bucket_links(iter(parts), 4) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert links and sum(seen) >= len(links)
+    at = {int(v): k for k, v in enumerate(values.view(np.int64))}
+    got = components(len(values), np.array([at[a] for a, _ in links]), np.array([at[b] for _, b in links]))
+    assert (got == plain_components(values)).all()
+    monkeypatch.setattr(simhash, "within", lambda *args: iter(()))
+    assert not any(out.num_rows for out in simhash.bucket_links(iter(parts), 4))
+
+
+def test_hot_buckets_are_dealt_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    values = family(np.random.default_rng(8), 400, 3)
+    df = spark.createDataFrame([(simhash.signed(v),) for v in values], "fingerprint long")
+    at = {simhash.signed(v): k for k, v in enumerate(values)}
+    links = simhash.links_of(df, 4).collect()
+    got = components(len(values), np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
+    assert (got == plain_components(values)).all()
+
+
 def test_connected(spark):
     rng = np.random.default_rng(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [tuple(int(x) for x in rng.integers(200, 300, 2)) for _ in range(60)]
