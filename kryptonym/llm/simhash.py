@@ -266,6 +266,7 @@ def named(values: DataFrame, links: DataFrame, node: str) -> DataFrame:
     Only linked nodes meet their class's minimum, each class in SALTS parts, so a class of any size spreads over tasks.
     """
     star = connected(links).select(F.col("node").alias("of"), "root")
+    star = star.union(star.select("root", F.col("root").alias("also")).distinct())  # a root is a node of its class
     held = checkpointed(values.join(star, F.col(node) == F.col("of")).select(node, "low", "root", F.pmod(F.xxhash64(node), F.lit(SALTS)).alias("salt")))
     least = held.groupBy("root").agg(F.min("low").alias("component_id")).select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     found = held.join(least, ["root", "salt"]).select(F.col(node).alias("of"), "component_id", F.lit(True).alias("known"))
