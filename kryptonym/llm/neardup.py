@@ -1,4 +1,8 @@
-"""Near-duplicates by shingle Jaccard: minhash bands give candidate pairs, shingle sets decide them exactly."""
+"""Near-duplicates by shingle similarity: SimHash fingerprints compared bit-sliced within buckets, shingle sets decide exactly.
+
+The settings of a corpus stage beside those of `simhash.near_duplicates`: at a similarity of 0.8 fingerprints differ in some ten
+bits, so blocks of their bits give no buckets. Bands of minima of the same shingles' hashes do.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import RollingHash, as_bytes, blocks, checkpointed, connected, mixed, width, word_spans
+from .simhash import named, planes_of, within
 
 WORDS = 5
 SIMILARITY = 0.8
 #: A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 3e-5 at 0.8.
 BANDS, ROWS = 20, 4
-#: Nodes of a bucket up to which all its pairs are candidates; in a larger one each is paired with the NEXT in a random order.
-SMALL = 16
-NEXT = 4
+#: Differing bits up to which fingerprints may belong to similar texts: at 0.8 the mean is 9.7, the deviation 2.9.
+RADIUS = 22
+#: Texts of a bucket that one task compares with each other; a larger bucket is cut into parts of about so many.
+PART = 512
 SEED = 42
 
 _random = np.random.default_rng(SEED)
@@ -75,17 +81,28 @@ def band_keys(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def bits_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of each set of shingles: a bit is set where over half the hashes have it."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    full = np.flatnonzero(at[1:] > at[:-1])
+    size = np.diff(at)[full]
+    for b in range(64):
+        ones = np.add.reduceat((hashes >> np.uint64(b) & np.uint64(1)).astype(np.int64), at[:-1][full]) if len(full) else size
+        out[full] |= (2 * ones > size).astype(np.uint64) << np.uint64(b)
+    return out
+
+
 def sketches(df: DataFrame, words: int) -> DataFrame:
-    """(id, node: the number of its shingle set, keys of its bands) of rows (id, text)."""
+    """(id, node: the number of its shingle set, fingerprint, keys of its bands) of rows (id, text)."""
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             hashes, at = shingles(*as_bytes(block.column(1)), words)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(hashes, at).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(whole(hashes, at).view(np.int64)), keys], names=["id", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(whole(hashes, at).view(np.int64)), pa.array(bits_of(hashes, at).view(np.int64)), keys], names=["id", "node", "bits", "keys"])
 
-    return df.mapInArrow(run, f"id {kind}, node long, keys array<long>")
+    return df.mapInArrow(run, f"id {kind}, node long, bits long, keys array<long>")
 
 
 def shingle_sets(df: DataFrame, words: int) -> DataFrame:
@@ -100,101 +117,148 @@ def shingle_sets(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "node long, held binary")
 
 
-def candidate_pairs(batches: Iterator[pa.RecordBatch], next_: int = NEXT) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of rows (key, order, node, root) with buckets (key) together, none of one root.
+def similar(one: np.ndarray, two: np.ndarray, similarity: float) -> bool:
+    """Whether two ascending sets have at least the Jaccard similarity."""
+    few, many = min(len(one), len(two)), max(len(one), len(two))
+    if few < similarity * many:
+        return False
+    both = np.sort(np.concatenate((one, two)), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return same >= similarity * (len(both) - same)
+
 
-    All pairs of a bucket of up to SMALL nodes, and in a larger one each node with the next_ ones by order: linear in the rows.
+def unit_links(node: np.ndarray, bits: np.ndarray, keys: np.ndarray, band: int, side: np.ndarray, root: np.ndarray, held: list, similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Links of one unit that join texts of different classes (root), each verified on the sets, until none is left.
+
+    side 0 and 1: only pairs of one with the other are compared; side 2: all with each other. A pair that shares an earlier
+    band is left to that band's bucket.
     """
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        run = np.cumsum(new) - 1
-        few = np.bincount(run)[run] <= SMALL
-        a, b = [], []
-        for lag in range(1, min(SMALL, len(key))):
-            i = np.flatnonzero((run[:-lag] == run[lag:]) & (few[:-lag] | (lag <= next_)) & (root[:-lag] != root[lag:]))
-            a.append(np.minimum(node[i], node[i + lag]))
-            b.append(np.maximum(node[i], node[i + lag]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = tuple(batch.column(k).to_numpy() for k in (0, 2, 3))
-        if held and held[0][0][0] == new[0][-1]:
-            held.append(new)
-            continue
-        rows = [np.concatenate(x) for x in zip(*held, new)] if held else list(new)
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        if last:
-            yield from pairs(*(x[:last] for x in rows))
-        held = [tuple(x[last:] for x in rows)]
-    if held:
-        yield from pairs(*(np.concatenate(x) for x in zip(*held)))
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least the Jaccard similarity."""
+    order = np.lexsort((node, side))
+    node, bits, keys, side, root = node[order], bits[order], keys[order], side[order], root[order]
+    n, of = len(node), {}
+    label = np.array([of.setdefault(r, k) for k, r in enumerate(root.tolist())])
+    if label.max() == 0:
+        return []
+    split = int(np.searchsorted(side, 1)) if side[0] == 0 else n
+    queries = np.arange(split) if side[0] == 0 else np.arange(n)
+    low = np.full(len(queries), split) if side[0] == 0 else queries + 1
+    out = []
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for q, lane in within(planes_of(bits), bits[queries], low, np.full(len(queries), n), radius):
+        a, b = queries[q], lane
+        earlier = (keys[a, :band] == keys[b, :band]).any(1) if band else np.zeros(len(a), bool)
+        size = np.array([len(held[order[k]]) for k in range(n)])
+        few, many = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        use = ~earlier & (few >= similarity * many)
+        a, b = a[use], b[use]
+        near = np.bitwise_count(bits[a] ^ bits[b])
+        for k in np.argsort(near, kind="stable").tolist():
+            x, y = top(a[k]), top(b[k])
+            if x != y and similar(np.frombuffer(held[order[a[k]]], np.uint64), np.frombuffer(held[order[b[k]]], np.uint64), similarity):
+                label[max(x, y)] = min(x, y)
+                out.append((int(node[a[k]]), int(node[b[k]])))
+    return out
+
+
+def links_in_units(rows: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) of rows (key, one, two: the unit; band, side, node, bits, keys, root, held), unit by unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unit = pa.Table.from_batches(parts).combine_chunks()
+            numbers = [unit.column(c).to_numpy() for c in ("node", "side", "root")]
+            bits = unit.column("bits").to_numpy().view(np.uint64)
+            keys = unit.column("keys").chunk(0).flatten().to_numpy().reshape(len(bits), -1)
+            held = unit.column("held").chunk(0)
+            found = unit_links(numbers[0], bits, keys, unit.column("band")[0].as_py(), numbers[1], numbers[2], [x.as_buffer() for x in held], similarity, radius)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+        open_: list[pa.RecordBatch] = []
+        name = None
         for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(same >= similarity * (len(both) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("held").alias("one"))
-    two = sets.select(F.col("node").alias("b"), F.col("held").alias("two"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+            if not batch.num_rows:
+                continue
+            unit = [batch.column(i).to_numpy() for i in range(3)]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in unit], axis=0)) + 1
+            for s, e in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows]):
+                own = tuple(int(x[s]) for x in unit)
+                if own != name and open_:
+                    yield from done(open_)
+                    open_ = []
+                name = own
+                open_.append(batch.slice(s, e - s))
+        if open_:
+            yield from done(open_)
+
+    dealt = rows.select("key", "one", "two", "band", "side", "node", "bits", "keys", "root", "held")
+    dealt = dealt.repartition(width(rows.sparkSession), "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def part_of(node: str, size: Column) -> Column:
+    """The part of a bucket of `size` texts that a text falls into; parts hold about PART."""
+    return F.pmod(F.xxhash64(node), F.ceil(size / PART)).cast("long")
+
+
+def across(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Units of large buckets that hold several classes: every pair of different classes meets in one.
+
+    The bucket's largest class is M, all other texts are O. Parts of O meet each other and every part of M; M, which is one class,
+    does not meet itself. So a bucket of one class, however large, gives no unit.
+    """
+    large = buckets.where(F.col("size") > PART).join(roots, buckets.node == roots.of, "left").withColumn("root", F.coalesce("root", "node")).drop("of")
+    by_class = large.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = by_class.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+    held = large.join(most.select("key", F.col("m.root").alias("main"), F.col("m.n").alias("n_main"), (F.col("all") - F.col("m.n")).alias("n_other")), "key")
+    is_main = F.col("root") == F.col("main")
+    held = held.withColumn("part", F.when(is_main, part_of("node", F.col("n_main"))).otherwise(part_of("node", F.col("n_other"))))
+    n_main, n_other = F.ceil(F.col("n_main") / PART).cast("long"), F.ceil(F.col("n_other") / PART).cast("long")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    unit = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), side.cast("long").alias("side"))
+    # units of M are (part of O, -1 - part of M), units of O (lower part, higher part)
+    of_main = F.transform(each(n_other), lambda o: unit(o, -1 - F.col("part"), F.lit(1)))
+    with_main = F.transform(each(n_main), lambda m: unit(F.col("part"), -1 - m, F.lit(0)))
+    inner = F.transform(each(n_other), lambda o: unit(F.least(o, F.col("part")), F.greatest(o, F.col("part")), F.when(o == F.col("part"), 2).when(o > F.col("part"), 0).otherwise(1)))
+    units = F.when(is_main, of_main).otherwise(F.concat(with_main, inner))
+    return held.withColumn("u", F.explode(units)).select("key", "u.one", "u.two", "u.side", "band", "node", "root")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The class of near-duplicates of every row: texts link where their distinct word shingles have the Jaccard similarity.
 
-    Equal sets of shingles are one node. Nodes that share a band of minhashes are candidates, and each link is verified on the
-    sets. A large bucket pairs NEXT neighbours of a random order, another one for each band; nodes of a large bucket
-    that are in different classes by then are paired with SMALL neighbours of new orders until a round links nothing. component_id is the
-    smallest id reachable, the row's own included.
+    Equal sets of shingles are one node, with one SimHash fingerprint. Nodes that share a band of minhashes fall into a bucket. A
+    bucket's fingerprints are compared bit-sliced; each pair within the radius whose nodes are not linked yet is decided on
+    the sets themselves. Buckets of up to PART nodes are compared whole. A larger one is cut into parts of about
+    PART: first the nodes of each part are compared, then, once the classes so found are known, the parts of its other
+    classes with each other and with those of its largest class. So every pair of a bucket is compared or in one class
+    already, no pairs are written, and no task holds more than two parts. component_id is the smallest id reachable.
 
-    Null and empty texts are one class; rows that link to no row with an id have a null component_id; repeated rows keep
-    their rows; an empty table gives none. Returns id, component_id.
+    Null and empty texts are one class; texts of any length are read whole; rows that link to no row with an id have a
+    null component_id; repeated rows keep their rows; an empty table gives none. Other columns are ignored, whatever their
+    names. Returns id, component_id.
     """
-    spark = df.sparkSession
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpointed(sketches(own, words))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("low"), F.first("keys").alias("keys"))
-    dealt = nodes.where(F.exists("keys", lambda k: k != 0)).select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "node")
-    shared = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = checkpointed(dealt.join(shared, "key"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    nodes = checkpointed(nodes)
+    marks = nodes.where(F.exists("keys", lambda k: k != 0)).select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "node")
+    shared = marks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = checkpointed(marks.join(shared, "key"))
     needed = buckets.select("node").distinct()
-    sets = checkpointed(shingle_sets(own, words).join(needed, "node", "left_semi").dropDuplicates(["node"]))
-    edges, roots, turn = None, None, 0
-    while True:
-        some = buckets.withColumn("root", F.col("node"))
-        if turn:
-            # only large buckets of several classes can hold pairs that were not compared
-            some = buckets.where(F.col("size") > SMALL).join(roots, buckets.node == roots.of, "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            mixed_ = some.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-            some = some.join(mixed_, "key", "left_semi")
-        some = some.select("key", F.xxhash64("node", "key", F.lit(turn)).alias("order"), "node", "root")
-        ordered = some.repartition(width(spark), "key").sortWithinPartitions("key", "order")
-        pairs = ordered.mapInArrow(lambda batches, n=SMALL if turn else NEXT: candidate_pairs(batches, n), "a long, b long").distinct()
-        new = checkpointed(similar(pairs, sets, similarity))
-        if turn and new.isEmpty():
-            break
-        edges = new if edges is None else edges.union(new)
-        roots = connected(edges).select(F.col("node").alias("of"), "root")
-        edges = roots.select(F.col("of").alias("a"), F.col("root").alias("b"))
-        turn += 1
-    classed = checkpointed(nodes.join(roots, nodes.node == roots.of, "left").select("node", "low", F.coalesce("root", "node").alias("root")))
-    least = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classed.join(least, "root").select("node", "component_id")
-    return rows.join(named, "node").select(F.col("id").alias(id_col), "component_id")
+    sets = shingle_sets(own, words).join(needed, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
+    sets = checkpointed(sets.join(nodes.select("node", "bits", "keys"), "node"))
+    first = buckets.select("key", part_of("node", F.col("size")).alias("one"), F.lit(0).cast("long").alias("two"), F.lit(2).cast("long").alias("side"), "band", "node", F.col("node").alias("root"))
+    links = checkpointed(links_in_units(first.join(sets, "node"), similarity, radius))
+    if not buckets.where(F.col("size") > PART).isEmpty():
+        roots = connected(links)
+        roots = checkpointed(roots.union(roots.select("root", F.col("root").alias("also")).distinct()).select(F.col("node").alias("of"), "root"))
+        links = links.union(checkpointed(links_in_units(across(buckets, roots).join(sets, "node"), similarity, radius)))
+    classes = checkpointed(named(nodes.select("node", "low"), links, "node"))
+    return rows.join(classes, "node").select(F.col("id").alias(id_col), "component_id")

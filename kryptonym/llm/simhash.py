@@ -286,5 +286,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = checkpointed(fingerprints(df, id_col, text_col, words, seed))
     values = checkpointed(rows.groupBy("fingerprint").agg(F.min("id").alias("low")))
-    classes = named(values, links_of(values, radius), "fingerprint")
+    classes = checkpointed(named(values, links_of(values, radius), "fingerprint"))  # so that the join has plain exchanges, whose large partitions Spark splits
     return rows.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")

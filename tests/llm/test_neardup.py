@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline as C
 from kryptonym.llm import neardup as N
@@ -60,11 +61,41 @@ def test_edited_copies_leave_the_corpus(spark, sf):
     assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) > 2 * len(kept)
 
 
-def test_large_bucket(spark):
-    """More copies than a bucket pairs at once: classes are still those of brute force."""
+@pytest.mark.parametrize("part", (512, 16))
+def test_large_bucket(spark, monkeypatch, part):
+    """More copies than a task compares at once: classes are still those of brute force."""
+    monkeypatch.setattr(N, "PART", part)
     rng = np.random.default_rng(4)
-    texts = edited_copies(rng, 2, 60) + ["", None, "a b", "A b"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts = edited_copies(rng, 2, 60) + edited_copies(rng, 6, 3) + ["", None, "a b", "A b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as node", "2 as keys", "3 as component_id", "4 as low")
     got = {r.doc_id: r.component_id for r in N.near_duplicates(df).collect()}
     assert [got[k] for k in range(len(texts))] == plain_classes(texts)
     assert N.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_two_templates(spark, monkeypatch):
+    """Two large groups of one bucket whose texts are alike within each but not across: parts of either meet."""
+    monkeypatch.setattr(N, "PART", 8)
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    other = base[:150] + [f"u{x}" for x in rng.integers(0, 5000, 50)]
+    texts = []
+    for k in range(40):
+        words = list(base if k % 2 else other)
+        words[int(rng.integers(200))] = f"v{k}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "quite alone here now then"), (3, texts[3])], "doc_id long, text string")
+    rows = N.near_duplicates(df).collect()
+    assert len(rows) == 42 and [r.component_id for r in rows if r.doc_id is None] == [None]
+    assert {r.doc_id: r.component_id for r in rows if r.doc_id is not None} == dict(enumerate(plain_classes(texts)))
+
+
+def test_recall_of_the_radius():
+    """Pairs at a similarity of 0.8 and more lie within the radius."""
+    texts = edited_copies(np.random.default_rng(9), 60, 5)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    hashes, at = N.shingles(data, np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts]))))
+    bits = N.bits_of(hashes, at)
+    sets = [set(hashes[a:b].tolist()) for a, b in zip(at, at[1:])]
+    near = [int(bits[i] ^ bits[j]).bit_count() for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 300 and max(near) <= N.RADIUS
