@@ -15,18 +15,22 @@ from pyspark.sql import functions as F
 from .common import RollingHash, as_bytes, blocks, mixed, prepare, word_spans
 
 #: Labelled rows of each label that the model is fitted on, those with the lowest hash of their id.
-ROWS_PER_LABEL = 6000
+ROWS_PER_LABEL = 3000
 #: Buckets of the hashed terms.
 BUCKETS = 1 << 20
-#: Terms kept by the model: those that tell the labels apart best on the fitted rows.
-TERMS = 4096
-#: A term is kept if at least so many fitted rows hold it and its standardised log odds ratio is at least Z.
-LEAST_ROWS = 4
-Z = 3.5
+#: Terms that fewer fitted rows hold are not looked at.
+LEAST_ROWS = 2
+#: Terms that enter the machine for themselves: those whose log odds ratio is furthest from 0 in its deviations, at least Z.
+TERMS, Z = 4096, 2.0
+#: Terms that enter as halves of pairs: those with the largest parts in the leading directions of co-occurrence with what
+#: single terms leave unexplained, if some pair of them deviates by PAIR_Z at least.
+PAIRED, PAIR_Z = 512, 6.0
 FACTORS = 4
 #: Leading bytes of a word that are terms besides the word.
 PREFIXES = (4, 5, 6)
 ROUNDS = 200
+#: Weight of the squared parameters, on average over them.
+L2 = 1.0
 
 #: What separates words: every ASCII byte but letters, digits and the apostrophe.
 BREAK = np.zeros(256, bool)
@@ -79,7 +83,7 @@ def margin(n: int, row: np.ndarray, kept: np.ndarray, w0: float, w: np.ndarray,
     return out + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
-def fit_machine(n: int, row: np.ndarray, kept: np.ndarray, label: np.ndarray, size: int, factors: int = FACTORS, rounds: int = ROUNDS, l2: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_machine(n: int, row: np.ndarray, kept: np.ndarray, label: np.ndarray, size: int, factors: int = FACTORS, rounds: int = ROUNDS, l2: float = L2) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic loss, each label weighing half, by Adam over all rows."""
     rng = np.random.default_rng(0)
     base, w, v = np.array([0.0]), np.zeros(size), rng.normal(0, 0.05, (size, factors))
@@ -97,48 +101,113 @@ def fit_machine(n: int, row: np.ndarray, kept: np.ndarray, label: np.ndarray, si
     return float(base[0]), w, v
 
 
+def standing_out(row: np.ndarray, term: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
+    """How many deviations each term's log odds ratio of the labels lies from 0."""
+    ones, zeros = np.bincount(term[label[row] == 1], minlength=size), np.bincount(term[label[row] == 0], minlength=size)
+    a, b, n1, n0 = ones + 0.5, zeros + 0.5, label.sum(), (1 - label).sum()
+    return np.abs(np.log(a / (n1 - ones + 0.5)) - np.log(b / (n0 - zeros + 0.5))) / np.sqrt(1 / a + 1 / b)
+
+
+def only(row: np.ndarray, term: np.ndarray, size: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrences of kept terms, which are numbered anew in their order."""
+    place = np.full(size, -1)
+    place[kept] = np.arange(len(kept))
+    use = place[term] >= 0
+    return row[use], place[term[use]]
+
+
+def unexplained(n: int, row: np.ndarray, term: np.ndarray, label: np.ndarray, size: int, kept: np.ndarray, factors: int) -> np.ndarray:
+    """The label less its probability for each row, by a machine over kept terms fitted on the other half of the rows."""
+    row, term = only(row, term, size, kept)
+    out, half = np.zeros(n), np.arange(n) % 2
+    for h in (0, 1):
+        own = np.flatnonzero(half != h)
+        at = np.full(n, -1)
+        at[own] = np.arange(len(own))
+        use = at[row] >= 0
+        w0, w, v = fit_machine(len(own), at[row[use]], term[use], label[own], len(kept), factors, ROUNDS // 2)
+        out[half == h] = (label - sigmoid(margin(n, row, term, w0, w, v)[0]))[half == h]
+    return out
+
+
+def paired(n: int, row: np.ndarray, term: np.ndarray, rest: np.ndarray, size: int, most: int = PAIRED, least: float = PAIR_Z, directions: int = 8, rounds: int = 12) -> np.ndarray:
+    """Terms in pairs that occur together in rows whose rest (what is unexplained) is of one sign.
+
+    The matrix of rest-weighted co-occurrences is never built: its leading directions are found by power iteration, each time
+    kept to the `most` terms of the largest parts. Only between those terms are pairs counted.
+    """
+    if not size:
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(0)
+    own, v = np.bincount(term, rest[row], size), rng.normal(size=(size, directions))
+    for _ in range(rounds):
+        made = np.stack([np.bincount(term, (rest * np.bincount(row, v[term, f], n))[row], size) for f in range(v.shape[1])], 1) - own[:, None] * v
+        kept = np.argsort(-np.abs(made).max(1), kind="stable")[:most]
+        v = np.zeros_like(made)
+        v[kept] = made[kept]
+        v = np.linalg.qr(v)[0]
+        v = v[:, np.abs(v).max(0) > 0]
+    kept = np.sort(kept)
+    row, term = only(row, term, size, kept)
+    held = np.zeros((n, len(kept)), np.float32)
+    held[row, term] = 1
+    together = held.T @ (held * rest[:, None].astype(np.float32))
+    spread = np.sqrt(held.T @ (held * (rest**2)[:, None].astype(np.float32)) + 1e-6)
+    far = np.abs(together) / spread
+    far[held.T @ held < 4] = 0
+    np.fill_diagonal(far, 0)
+    return kept[(far >= least).any(1)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = ROWS_PER_LABEL, factors: int = FACTORS) -> Machine:
-    """A machine fitted on the labelled rows, at most `most` of each label; those of the lowest id hash.
+    """A machine fitted on the labelled rows, at most `most` ids of each label; those of the lowest id hash.
+
+    Every term of LEAST_ROWS rows is looked at, alone and in pairs: what tells the labels apart by itself enters the
+    machine, and so does what does so only together with another term. Which of them count is left to the fit.
 
-    Rows without a label (null), with another label than 0 and 1 or without a document are not used. Without
-    rows of both labels the machine knows no term and scores every text by the labels' mean (0 without labels).
+    Ids without a label (null), with another label than 0 and 1, with both or without a document are not used; of
+    several documents of one id the one of the smallest terms is used, so the driver gets 2 * most rows at most.
+    Null and empty texts hold no term. Without rows of both labels the machine knows no term and scores every text by the
+    labels' mean (0 without labels). Other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null").distinct()
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null")
+    known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")
     order = F.xxhash64("id")
     chosen = known.where("label = 1").orderBy(order, "id").limit(most).union(known.where("label = 0").orderBy(order, "id").limit(most))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            row, bucket = terms(block.column(1))
+            row, bucket = terms(block.column(2))
             pairs = np.unique(row * BUCKETS + bucket)
             row, bucket = pairs // BUCKETS, (pairs % BUCKETS).astype(np.int32)
             cut = np.searchsorted(row, np.arange(block.num_rows + 1)).tolist()
             packed = [bucket[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(packed, pa.binary())], names=["label", "terms"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(packed, pa.binary())], names=["id", "label", "terms"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
-    got = rows.mapInArrow(run, "label int, terms binary").collect()  # at most 2 * most rows of term numbers
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    got = rows.mapInArrow(run, f"id {kind}, label int, terms binary").groupBy("id", "label").agg(F.min("terms").alias("terms")).select("label", "terms").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     label = np.array([r[0] for r in got], float)
     held = [np.frombuffer(r[1], np.int32) for r in got]
-    place = np.full(BUCKETS, -1, np.int32)
-    if not len(label) or label.min() == label.max():
-        mean = float(label.mean()) if len(label) else 0.0
+    n, place = len(label), np.full(BUCKETS, -1, np.int32)
+    if not n or label.min() == label.max():
+        mean = float(label.mean()) if n else 0.0
         return Machine(place, float(np.log((mean + 1e-9) / (1 - mean + 1e-9))), np.zeros(0), np.zeros((0, factors)))
-    row, bucket = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
-    ones, zeros = np.bincount(bucket[label[row] == 1], minlength=BUCKETS), np.bincount(bucket[label[row] == 0], minlength=BUCKETS)
-    n1, n0 = label.sum(), (1 - label).sum()
-    a, b = ones + 0.5, zeros + 0.5
-    odds = np.log(a / (n1 - ones + 0.5)) - np.log(b / (n0 - zeros + 0.5))
-    z = np.abs(odds) / np.sqrt(1 / a + 1 / b)
-    z[ones + zeros < min(LEAST_ROWS, max(2, len(label) // 50))] = 0
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    best = best[z[best] >= min(Z, np.sqrt(len(label)) / 5)]
-    place[best] = np.arange(len(best))
-    kept = place[bucket]
-    use = kept >= 0
-    w0, w, v = fit_machine(len(label), row[use], kept[use], label, len(best), factors)
+    mixed_up = np.random.default_rng(0).permutation(n)  # so that halves of the rows hold both labels
+    label, held = label[mixed_up], [held[k] for k in mixed_up]
+    row, bucket = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
+    often = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS) >= LEAST_ROWS)
+    row, term = only(row, bucket, BUCKETS, often)
+    far = standing_out(row, term, label, len(often))
+    alone = np.argsort(-far, kind="stable")[:TERMS]
+    alone = alone[far[alone] >= Z]
+    rest = unexplained(n, row, term, label, len(often), alone, factors)
+    kept = np.union1d(alone, paired(n, row, term, rest, len(often)))
+    row, term = only(row, term, len(often), kept)
+    place[often[kept]] = np.arange(len(kept))
+    w0, w, v = fit_machine(n, row, term, label, len(kept), factors)
     return Machine(place, w0, w, v)
 
 

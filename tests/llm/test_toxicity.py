@@ -5,7 +5,7 @@ import pytest
 from kryptonym.llm import queries, toxicity
 
 
-def corpus(n, seed):
+def corpus(n, seed, toxic=lambda insult, group: insult and group):
     """Neither an insult nor a group alone is toxic; both together are."""
     rng = np.random.default_rng(seed)
     rows = []
@@ -16,7 +16,7 @@ def corpus(n, seed):
             words.insert(int(rng.integers(len(words))), str(rng.choice(["vile", "nasty"])))
         if group:
             words.insert(int(rng.integers(len(words))), str(rng.choice(["martians", "venusians"])))
-        rows.append((i, " ".join(words), int(insult and group)))
+        rows.append((i, " ".join(words), int(toxic(insult, group))))
     return rows
 
 
@@ -36,6 +36,25 @@ def test_learns_pairs(machine):
     assert alone[0] < 0.5 and alone[1] < 0.5 and alone[2] > 0.5
 
 
+@pytest.mark.parametrize("n", (600, 6000))
+def test_learns_pairs_whose_terms_say_nothing_alone(spark, n):
+    """Toxic is an insult or a group, but not both: each is as frequent in clean as in toxic rows."""
+    either = lambda insult, group: insult != group
+    df = spark.createDataFrame(corpus(n, 1, either), "doc_id long, text string, toxic int")
+    rows = corpus(600, 2, either)
+    score = toxicity.fit(df, df).score(pa.array([t for _, t, _ in rows]))
+    assert ((score >= 0.5) == np.array([x == 1 for _, _, x in rows])).mean() > 0.95
+
+
+def test_repeated_ids_and_labels_that_contradict(spark):
+    docs = [(i, t) for i, t, _ in corpus(300, 3)]
+    df = spark.createDataFrame(docs + [(0, docs[0][1])] * 50, "doc_id long, text string")
+    labels = [(i, x) for i, _, x in corpus(300, 3)]
+    once = toxicity.fit(spark.createDataFrame(docs, df.schema), spark.createDataFrame(labels[1:], "doc_id long, toxic int"))
+    both = toxicity.fit(df, spark.createDataFrame([*labels, (0, 1 - labels[0][1]), (None, 1)], "doc_id long, toxic int"))
+    assert (once.w == both.w).all() and once.w0 == both.w0
+
+
 def test_score_is_the_formula(machine):
     text = "Vile, nasty martians w1 w2 vile"
     row, bucket = toxicity.terms(pa.array([text]))
