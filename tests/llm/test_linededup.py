@@ -2,6 +2,7 @@ import hashlib
 
 import duckdb
 import numpy as np
+import pytest
 
 from kryptonym.llm import linededup as L
 from kryptonym.llm import queries
@@ -32,10 +33,14 @@ def test_rows(spark):
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_rows_without_filters(spark, monkeypatch):
-    monkeypatch.setattr(L, "FILTER_BYTES", -1)
-    df = spark.createDataFrame(ROWS, "doc_id long, text string")
-    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.dedup_lines(df).collect()) == plain(ROWS)
+@pytest.mark.parametrize("hot", (1, 1 << 30))
+def test_lines_through_filters_and_before_them(spark, monkeypatch, hot):
+    """All repeated keys count as hot, or none does; the shards are many."""
+    monkeypatch.setattr(L, "HOT_KEYS", hot)
+    monkeypatch.setattr(L, "SHARD_KEYS", 1)
+    rows = ROWS + [(20 + i, f"line number {i // 3} that some documents share") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.dedup_lines(df).collect()) == plain(rows)
 
 
 def test_null_ids_are_smallest(spark):
@@ -56,22 +61,61 @@ def test_cuckoo_filter():
     assert L.CuckooFilter.of(np.zeros((0, 2), np.uint64)).holds(keys).sum() == 0
 
 
-def test_store_is_reversible(spark, tmp_path):
-    first = spark.createDataFrame(ROWS[:8], "doc_id long, text string")
-    second = spark.createDataFrame(ROWS[8:], "doc_id long, text string")
-    whole = spark.createDataFrame(ROWS, "doc_id long, text string")
-    store = L.LineStore(spark, str(tmp_path / "store"), shards=2)
-    clean = lambda df: sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in store.clean(df).collect())
-    store.insert(first)
-    assert clean(first) == plain(ROWS[:8])
-    before = {k: v for k, v in store.filters().items()}
-    store.insert(second)
-    assert clean(whole) == plain(ROWS)
-    store.delete(second.select("doc_id"))
-    assert clean(first) == plain(ROWS[:8])
-    keys = L.halves([bytes(r.key) for r in store.heavy().collect()])
-    for shard, raw in store.filters().items():
-        assert (np.frombuffer(raw, np.uint16) > 0).sum() == (np.frombuffer(before.get(shard, b""), np.uint16) > 0).sum() == (L.shard_of(keys, 2) == shard).sum()
+def test_store_is_reversible(spark, tmp_path, monkeypatch):
+    """Batches in and out, each by a store opened anew; small shards are dealt out anew on the way and references compacted."""
+    monkeypatch.setattr(L, "SHARD_KEYS", 2)
+    monkeypatch.setattr(L.LineStore, "COMPACTED", 3)
+    many = [(30 + i, f"line number {i // 3} that some documents share\n{A}") for i in range(60)]
+    first, second, third = ROWS[:8], ROWS[8:], many
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    store = lambda: L.LineStore(spark, str(tmp_path / "store"))
+    clean = lambda rows: sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in store().clean(frame(rows)).collect())
+    tags = lambda: {r.shard: np.sort(np.frombuffer(r["filter"], np.uint16)[np.frombuffer(r["filter"], np.uint16) > 0]).tolist() for r in spark.read.parquet(store().state["filters"]).collect() if any(r["filter"])}
+    store().insert(frame(first))
+    assert clean(first) == plain(first)
+    store().insert(frame(second))
+    assert clean(first + second) == plain(first + second)
+    store().insert(frame(third))
+    before, counts = tags(), {tuple(r) for r in store().counts().collect()}
+    assert clean(ROWS + many) == plain(ROWS + many) and store().state["shards"] > 1
+    store().delete(frame(second + third).select("doc_id"))
+    assert clean(first) == plain(first) and store().state["version"] == 4 and len(store().state["refs"]) == 1
+    store().insert(frame(third))
+    store().insert(frame(second))
+    assert clean(ROWS + many) == plain(ROWS + many)
+    assert {tuple(r) for r in store().counts().collect()} == counts and tags() == before
+    store().delete(frame([(999, "")]).select("doc_id"))
+    assert tags() == before
+
+
+def test_a_batch_that_dies_is_run_again(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string")
+    store = L.LineStore(spark, str(tmp_path / "s"))
+    store.insert(df)
+    real = L.LineStore._filters
+
+    def dies(self, *args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(L.LineStore, "_filters", dies)
+    with pytest.raises(OSError):
+        store.delete(df.where("doc_id > 8").select("doc_id"))
+    monkeypatch.setattr(L.LineStore, "_filters", real)
+    again = L.LineStore(spark, str(tmp_path / "s"))
+    clean = lambda rows: sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in again.clean(df.where(rows)).collect())
+    assert again.state["version"] == 1 and clean("true") == plain(ROWS)
+    again.delete(df.where("doc_id > 8").select("doc_id"))
+    assert clean("doc_id <= 8") == plain([r for r in ROWS if r[0] <= 8])
+    with pytest.raises(ValueError):
+        L.LineStore(spark, str(tmp_path / "s"), min_docs=5)
+
+
+def test_a_full_filter_is_built_anew():
+    """A shard that takes many more keys than its filter has room for."""
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 1 << 63, (70_000, 2)).astype(np.uint64)
+    small = L.CuckooFilter.of(keys[:100])
+    assert not small.insert(keys[100:]) and L.CuckooFilter.of(keys).holds(keys).all()
 
 
 def test_query(spark, sf):
