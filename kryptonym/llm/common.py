@@ -83,6 +83,29 @@ def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+#: A key with so large a part of all rows is joined by itself: there are no more than this many such keys.
+HOT_KEYS = 4096
+
+
+def joined_hot(rows: DataFrame, table_: DataFrame, on: list[str]) -> DataFrame:
+    """The inner join of checkpointed rows with a table that has each key once, without a task for each key.
+
+    Keys with a HOT_KEYS-th of the rows are at most HOT_KEYS, so their part of the table is sent to every worker.
+    """
+    total = rows.count()
+    hot = checkpointed(rows.groupBy(*on).count().where(F.col("count") * HOT_KEYS >= total).select(*on).join(table_, on))
+    some = F.broadcast(hot)
+    return rows.join(some, on).union(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table_, on))
+
+
+def without(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows but for those of checkpointed distinct ids; a row without an id stays. Few ids are sent to the workers instead of the rows being dealt."""
+    return rows.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, id_col, "left_anti")
+
+
+#: Ids of which a set is sent to every worker.
+FEW_IDS = 1 << 20
+
 #: The white space that separates words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
