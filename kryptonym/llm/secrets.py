@@ -26,22 +26,36 @@ WORDS_OF_ASSIGN = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 IN_TOKEN = np.zeros(256, bool)
 IN_TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
-#: Characters of context on either side of a token that may be secret.
-CONTEXT = 160
+#: Characters around a token first looked at for the bounds of its stretch; twice as many until they are found.
+REACH = 256
 BUCKETS = 1 << 13
 B, I, O = 0, 1, 2
 CREDENTIAL = {"password", "passwd", "passphrase", "pwd", "pass", "secret", "token", "apikey", "api_key", "key", "auth", "authorization", "bearer", "credential", "credentials", "client_secret", "access_key", "secret_key", "private_key", "aws_secret_access_key", "login", "pin"}
 HARMLESS = {"version", "id", "order", "commit", "sha", "sha1", "sha256", "md5", "checksum", "build", "isbn", "sku", "uuid", "color", "date", "file", "url", "model", "part", "room", "ref", "invoice", "ticket", "issue", "size", "port", "etag", "revision"}
 
 
+#: Parts of words that one of CREDENTIAL is made of: a text without them has no place that OPENS.
+ROOTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"bearer", b"credential", b"login", b"pin")
+#: What stands before a value: a name with a credential's word in it and a sign or "is", or the scheme of a header.
+OPENS = re.compile(
+    rf"(?ai)(?<![a-z0-9])(?:[a-z0-9]{{1,40}}[_-]){{0,4}}(?:{'|'.join(sorted(CREDENTIAL, key=len, reverse=True))})(?:[_-][a-z0-9]{{1,20}}){{0,2}}"
+    r"""["'\]]{0,2}[ \t]{0,4}(?::=|=>|->|[:=]|is\b)[ \t]{0,4}(?:bearer[ \t]{1,4}|basic[ \t]{1,4})?["'`]?(?=\S)|(?<![a-z0-9])bearer[ \t]{1,4}(?=\S)"""
+)
+
+
 def may_be_secret(token: str) -> bool:
-    """Whether a token can begin a secret; all other runs of letters and digits are outside by constraint."""
+    """Whether a token can begin a secret by its shape, wherever it stands."""
     n, digits = len(token), sum(c.isdigit() for c in token)
     letters = sum(c.isalpha() for c in token)
     upper = sum(c.isupper() for c in token)
     return n >= 8 and digits >= 1 and letters >= 1 or n >= 20 and upper >= 2 and letters - upper >= 2
 
 
+def openings(text: str) -> list[int]:
+    """Where a value begins behind a credential's word: what stands there can begin a secret whatever its shape."""
+    return [m.end() for m in OPENS.finditer(text)]
+
+
 def shape(token: str) -> str:
     out = []
     for c in token:
@@ -69,13 +83,15 @@ def features(tokens: list[str], gaps: list[bool], i: int, file: tuple[str, ...])
     near = [x.lower() for x in tokens[max(0, i - 5) : i] if x[0].isalnum()]
     before = tokens[i - 1].lower() if i else "<s>"
     words = {w for x in near for w in (x, *re.split(r"[_-]", x))}
-    out = ["1", "s:" + shape(t), "n:" + str(min(12, len(t) // 4)), "p:" + before[:12], "p2:" + (tokens[i - 2].lower()[:12] if i > 1 else "<s>"), "x:" + (tokens[i + 1].lower()[:12] if i + 1 < len(tokens) else "</s>"), "g:" + str(gaps[i])]
+    known = str(bool(words & CREDENTIAL))
+    out = ["1", "so:" + shape(t) + known + str(gaps[i]), "s:" + shape(t), "n:" + str(min(12, len(t) // 4)), "p:" + before[:12], "p2:" + (tokens[i - 2].lower()[:12] if i > 1 else "<s>"), "x:" + (tokens[i + 1].lower()[:12] if i + 1 < len(tokens) else "</s>"), "g:" + str(gaps[i])]
     out += ["k:" + str(bool(words & CREDENTIAL)), "h:" + str(bool(words & HARMLESS))]
     if len(t) > 1:
         c = charset(t)
         digits = sum(x.isdigit() for x in t)
         e = int(entropy(t) * 2)
         out += ["c:" + c, "e:" + str(e), "d:" + str(digits * 5 // len(t)), "q:" + t[:4].lower(), "cn:" + c + str(min(12, len(t) // 4)), "ce:" + c + str(e), "ck:" + c + str(bool(words & CREDENTIAL)), "ek:" + str(e) + str(bool(words & CREDENTIAL)), "eh:" + str(e) + str(bool(words & HARMLESS))]
+        out += ["fk:" + x + str(bool(words & CREDENTIAL)) for x in file]
     return out + ["f:" + x for x in file]
 
 
@@ -115,12 +131,15 @@ class Chain:
         return out[::-1]
 
 
-def permitted(tokens: list[str]) -> np.ndarray:
-    """States a token may have: begin only where it may be secret, inside there or at punctuation within a secret."""
+def permitted(tokens: list[str], gaps: list[bool], opened: list[bool]) -> np.ndarray:
+    """States a token may have: begin where it may be secret by its shape or its place (opened); inside in the rest of
+    the same run, up to white space. All else is outside by constraint."""
     out = np.zeros((len(tokens), 3), bool)
+    run = False
     for i, t in enumerate(tokens):
-        hot = may_be_secret(t)
-        out[i] = hot, hot or len(t) == 1 and t in ".=:~$!@#%&" or len(t) > 1 and any(c.isdigit() for c in t) and i > 0, True
+        begins = opened[i] or may_be_secret(t)
+        out[i] = begins, run and not gaps[i], True
+        run = begins or run and not gaps[i]
     return out
 
 
@@ -171,46 +190,90 @@ def train(sequences: list[tuple[list[list[int]], list[int], np.ndarray]], rounds
     return Chain(emit[:BUCKETS], move + wall)
 
 
-def example(rng: np.random.Generator) -> tuple[str, str]:
-    """(line, the secret in it or '') of made-up training material."""
+def made_file(rng: np.random.Generator, kind: str, lines: int = 8) -> tuple[list[tuple[str, str]], str]:
+    """((line, the secret in it or ''), ...) and the extension of a made-up file: settings, code or prose.
+
+    In settings a credential's value is mostly a secret, in prose mostly a word about it, in code either.
+    """
     pick = lambda x: x[int(rng.integers(len(x)))]
     run = lambda chars, a, b: "".join(pick(chars) for _ in range(int(rng.integers(a, b + 1))))
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: run(lower, 2, 10)
-    values = [lambda: run(digits + "abcdef", 16, 64), lambda: run(lower + upper + digits, 12, 40), lambda: run(lower + upper + digits + "+/", 24, 60) + pick(["", "=", "=="]), lambda: run(upper, 3, 4) + run(upper + digits, 14, 20), lambda: pick(["ghp_", "sk_live_", "xoxb-", "glpat-", "pk_", "AIza"]) + run(lower + upper + digits, 16, 36), lambda: pick([word().title(), word()]) + run(digits, 2, 4) + pick(["", "x" + run(digits, 2, 3)]), lambda: "eyJ" + run(lower + upper + digits, 12, 24) + "." + run(lower + upper + digits, 12, 30) + "." + run(lower + upper + digits + "_-", 20, 40)]
-    plain = [lambda: run(digits + "abcdef", 7, 40), lambda: run(digits, 8, 16), lambda: word() + run(digits, 1, 4) + word(), lambda: word() + "_" + run(digits, 6, 8) + "_" + run(digits, 4, 6), lambda: "-".join(run(digits + "abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: "20" + run(digits, 2, 2) + "-0" + run("123456789", 1, 1) + "-1" + run(digits, 1, 1), lambda: "/".join([word(), word() + run(digits, 1, 3), word()]), lambda: upper[int(rng.integers(26))] + run(digits, 3, 4) + "-" + run(upper + digits, 4, 6), lambda: run(lower, 20, 30)]
-    head = " ".join(word() for _ in range(int(rng.integers(0, 6))))
-    tail = " ".join(word() for _ in range(int(rng.integers(0, 6))))
-    sep = pick(["=", ": ", " = ", ":", " is ", " "])
-    quote = pick(["", "", '"', "'"])
-    if rng.random() < 0.5:
-        name = pick(sorted(CREDENTIAL))
-        value = pick(values)()
-        return f"{head} {pick([name, name.upper(), name.title(), word() + '_' + name])}{sep}{quote}{value}{quote} {tail}".strip(), value
-    name = pick([*sorted(HARMLESS), word(), word()])
-    return f"{head} {name}{sep}{quote}{pick(plain)()}{quote} {tail}".strip(), ""
+    syllables = [a + b for a in "bdfghklmnprstvw" for b in "aeiou"]
+    word = lambda a=1, b=4: "".join(pick(syllables) for _ in range(int(rng.integers(a, b + 1)))) + pick(["", "", "n", "r", "s", "t"])
+    values = [
+        lambda: run(digits + "abcdef", 16, 64),
+        lambda: run(lower + upper + digits, 12, 40),
+        lambda: run(lower + upper + digits + "+/", 24, 60) + pick(["", "=", "=="]),
+        lambda: run(upper, 3, 4) + run(upper + digits, 14, 20),
+        lambda: pick(["ghp_", "sk_live_", "xoxb-", "glpat-", "pk_", "AIza"]) + run(lower + upper + digits, 16, 36),
+        lambda: pick([word().title(), word()]) + run(digits, 1, 4) + pick(["", "x" + run(digits, 2, 3)]),
+        lambda: "eyJ" + run(lower + upper + digits, 12, 24) + "." + run(lower + upper + digits, 12, 30) + "." + run(lower + upper + digits + "_-", 20, 40),
+        lambda: word().title().replace("a", "@").replace("o", "0") + pick("!?#$%&*") + run(digits, 1, 4),
+        lambda: run(lower + upper + digits + "!@#$%^&*", 8, 18),
+        lambda: "-".join(word(2, 3) for _ in range(int(rng.integers(3, 6)))),
+        lambda: run(lower, 18, 32),
+        lambda: run(digits, 4, 8),
+    ]
+    plain = [lambda: run(digits + "abcdef", 7, 40), lambda: run(digits, 3, 16), lambda: word() + run(digits, 1, 4) + word(), lambda: word() + "_" + run(digits, 6, 8) + "_" + run(digits, 4, 6), lambda: "-".join(run(digits + "abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: "20" + run(digits, 2, 2) + "-0" + run("123456789", 1, 1) + "-1" + run(digits, 1, 1), lambda: "/".join([word(), word() + run(digits, 1, 3), word()]), lambda: upper[int(rng.integers(26))] + run(digits, 3, 4) + "-" + run(upper + digits, 4, 6), word, lambda: word() + "." + word()]
+    about = [word, lambda: word().title(), lambda: word(1, 2) + " " + word(1, 2), lambda: word() + "." + word() + "()", lambda: word() + "(" + word() + ")", lambda: "<" + word() + "-" + word() + ">", lambda: "${" + word().upper() + "}", lambda: pick(["str", "string", "None", "null", "true", "required", "optional", "changeme", "hidden"]), lambda: word() + "," + word(), lambda: "****"]
+    share = {"settings": 0.9, "code": 0.55, "prose": 0.35}[kind]
+    out = []
+    for _ in range(lines):
+        quote = pick({"settings": ["", "", "", '"'], "code": ['"', "'", '"', ""], "prose": ["", "", "", '"']}[kind])
+        sep = pick({"settings": ["=", ": ", ":", " = "], "code": [" = ", "=", ": ", " := "], "prose": [" is ", ": ", " is ", ":"]}[kind])
+        head = "" if kind == "settings" else pick(["", "    ", word() + "."]) if kind == "code" else " ".join(word() for _ in range(int(rng.integers(0, 6)))) + " "
+        tail = {"settings": "", "code": pick([";", "", "  # " + word()]), "prose": " " + " ".join(word() for _ in range(int(rng.integers(0, 6))))}[kind]
+        if rng.random() < 0.55:
+            name = pick(sorted(CREDENTIAL))
+            name = pick([name, name.upper(), name.title(), word() + "_" + name, name + "_" + word(1, 1)])
+            secret = pick(values)() if rng.random() < share else ""
+            if name.lower() in ("bearer", "authorization") and rng.random() < 0.7:
+                name, sep = pick(["Authorization: Bearer", "bearer"]), " "
+            value = secret or pick(about)()
+            line = f"{head}{name}{sep}{quote}{value}{quote}{tail}"
+        elif rng.random() < 0.12:
+            secret = pick(values[:5])()  # alone, to be known by its shape only
+            line = f"{head}{secret}{tail}"
+        else:
+            secret, value = "", pick(plain)()
+            line = f"{head}{pick([*sorted(HARMLESS), word(), word()])}{pick([sep, ' '])}{quote}{value}{quote}{tail}"
+        out.append((line.rstrip(), secret))
+    return out, pick({"settings": ["env", "ini", "yaml", "properties"], "code": ["py", "js", "go", "java"], "prose": ["md", "txt", "log"]}[kind])
+
+
+def example(rng: np.random.Generator) -> tuple[str, str]:
+    """(line, the secret in it or '') of made-up material."""
+    return made_file(rng, ("settings", "code", "prose")[int(rng.integers(3))], 1)[0][0]
+
+
+def read_tokens(text: str, low: int = 0, high: int | None = None, opens: frozenset[int] = frozenset()) -> tuple[list, list[str], list[bool], np.ndarray]:
+    """(matches, tokens, whether white space stands before each, states each may have) of a part of a text."""
+    found = list(TOKEN.finditer(text, low, len(text) if high is None else high))
+    tokens = [m[0] for m in found]
+    gaps = [m.start() == 0 or text[m.start() - 1].isspace() for m in found]
+    return found, tokens, gaps, permitted(tokens, gaps, [m.start() in opens for m in found])
 
 
 @lru_cache(2)
-def fitted(examples: int = 900, seed: int = 7) -> Chain:
-    """The field, trained on made-up lines; the same for the same arguments."""
+def fitted(files: int = 240, seed: int = 7) -> Chain:
+    """The field, trained on the lines of made-up files with the features of the whole file; the same for the same arguments."""
     rng = np.random.default_rng(seed)
     made = []
-    for _ in range(examples):
-        line, secret = example(rng)
-        found = list(TOKEN.finditer(line))[:24]
-        tokens = [m[0] for m in found]
-        gaps = [m.start() == 0 or line[m.start() - 1].isspace() for m in found]
-        at = line.find(secret) if secret else -1
-        allowed = permitted(tokens)
-        labels, inside = [], False
-        for k, m in enumerate(found):
-            own = secret and at <= m.start() < at + len(secret)
-            label = O if not own else I if inside and allowed[k, I] else B if not inside and allowed[k, B] else O
-            inside = label != O
-            labels.append(label)
-        file = (f"sets:{int(rng.integers(4))}", f"code:{bool(rng.integers(2))}")
-        made.append(([[bucket(f) for f in features(tokens, gaps, k, file)] for k in range(len(tokens))], labels, allowed))
+    for k in range(files):
+        lines, extension = made_file(rng, ("settings", "code", "prose")[k % 3])
+        file = file_features("\n".join(x for x, _ in lines), extension if rng.random() < 0.5 else None)
+        for line, secret in lines:
+            found, tokens, gaps, allowed = read_tokens(line, opens=frozenset(openings(line)))
+            found, tokens, gaps, allowed = found[:32], tokens[:32], gaps[:32], allowed[:32]
+            at = line.rfind(secret) if secret else -1
+            labels, inside = [], False
+            for i, m in enumerate(found):
+                own = secret and at <= m.start() < at + len(secret)
+                label = O if not own else I if inside and allowed[i, I] else B if not inside and allowed[i, B] else O
+                inside = label != O
+                labels.append(label)
+            if tokens:
+                made.append(([[bucket(f) for f in features(tokens, gaps, i, file)] for i in range(len(tokens))], labels, allowed))
     return train(made)
 
 
@@ -221,42 +284,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32])
 
 
-def field_spans(text: str, chain: Chain, hot: list[tuple[int, int]], extension: str | None = None) -> list[tuple[int, int]]:
-    """(start, end) of the secrets that the field tags. hot: the tokens that may be secret.
+def field_spans(text: str, chain: Chain, extension: str | None = None, hot: list[int] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the secrets that the field tags. hot: where tokens stand that may be secret by their shape, if known.
 
-    All other words are outside by constraint, and an outside word separates what stands on its sides, so the
-    best states of the whole text are those of the stretches around hot tokens.
+    A token that is outside by constraint separates what stands on its sides, so the best states of the whole text are
+    those of the stretches between such tokens. A stretch is looked for as far as it goes, and its features see the
+    five tokens before it and the one behind it.
     """
+    opens = frozenset(openings(text))
+    if hot is None:
+        hot = [m.start() for m in TOKEN.finditer(text) if may_be_secret(m[0])]
     out, file, done = [], file_features(text, extension), 0
-    k = 0
-    while k < len(hot):
-        s, e = hot[k]
-        low, high = max(0, s - CONTEXT), e + CONTEXT
-        while k + 1 < len(hot) and hot[k + 1][0] < high:
-            k += 1
-            high = hot[k][1] + CONTEXT
-        k += 1
-        while low > 0 and IN_TOKEN_TEXT(text[low - 1]):
-            low -= 1
-        found = list(TOKEN.finditer(text, low, min(len(text), high)))
-        tokens = [m[0] for m in found]
-        gaps = [m.start() == 0 or text[m.start() - 1].isspace() for m in found]
-        states = chain.decode([[bucket(f) for f in features(tokens, gaps, i, file)] for i in range(len(tokens))], permitted(tokens))
-        begin = None
-        for m, st in [*zip(found, states), (None, O)]:
-            if st != I and begin is not None:
-                if begin >= done:
-                    out.append((begin, last))
-                    done = last
-                begin = None
-            if st == B:
-                begin = m.start()
-            if st != O:
-                last = m.end()
+    for s in sorted({*hot, *opens}):
+        if s < done:
+            continue
+        reach = REACH
+        while True:
+            low, high = max(0, s - reach), min(len(text), s + reach)
+            while low > 0 and in_token(text[low - 1]) and in_token(text[low]):
+                low -= 1
+            while high < len(text) and in_token(text[high - 1]) and in_token(text[high]):
+                high += 1
+            found, tokens, gaps, allowed = read_tokens(text, low, high, opens)
+            free = allowed[:, B] | allowed[:, I]
+            at = next((k for k, m in enumerate(found) if m.start() >= s), len(found))
+            first = at
+            while first > 0 and free[first - 1]:
+                first -= 1
+            last = at
+            while last < len(found) and free[last]:
+                last += 1
+            if (low == 0 or first >= 6) and (high == len(text) or last + 1 < len(found)):
+                break
+            reach *= 2
+        first, last = max(0, first - 1), min(len(found), last + 1)  # with the tokens outside on either side
+        if first < last:
+            states = chain.decode([[bucket(f) for f in features(tokens, gaps, i, file)] for i in range(first, last)], allowed[first:last])
+            begin = stop = None
+            for m, state in [*zip(found[first:last], states), (None, O)]:
+                if state != I and begin is not None:
+                    out.append((begin, stop))
+                    begin = None
+                if state == B:
+                    begin = m.start()
+                if state != O:
+                    stop = m.end()
+            done = found[last - 1].end()
     return out
 
 
-def IN_TOKEN_TEXT(c: str) -> bool:  # noqa: N802
+def in_token(c: str) -> bool:
     return c.isascii() and bool(IN_TOKEN[ord(c)])
 
 
@@ -264,9 +341,12 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extensio
     """id and spans (array of kind, start, end; code points, ends exclusive) of the secrets in every whole text.
 
     Kinds assign, access and hex are fixed patterns; kind crf is what the field tags besides, where it overlaps
-    none of theirs. The field's states are begin, inside and outside; only texts with a token that may be secret
-    reach it. Null and empty texts have no spans; repeated rows each get theirs; an empty table gives none;
-    other columns are ignored.
+    none of theirs. The field's states are begin, inside and outside. A secret can begin at a token of a secret's shape,
+    anywhere, and at any token behind a credential's word; texts without either do not reach the field.
+
+    Null and empty texts have no spans; texts of any length are read whole, and a secret may be as long as its text; of
+    overlapping spans of one kind the leftmost counts; repeated rows each get theirs; an empty table gives none; other
+    columns are ignored, whatever their names.
     """
     sent = prepare(df.sparkSession).sparkContext.broadcast(fitted())
     kind = df.schema[id_col].dataType.simpleString()
@@ -284,20 +364,25 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", extensio
             long[row[(n >= 32) & (digits + lower >= 32)]] = True
             by_row: dict[int, list[int]] = {}
             for k in np.flatnonzero(hot):
-                by_row.setdefault(int(row[k]), []).append(int(k))
+                by_row.setdefault(int(row[k]), []).append(int(starts[k]))
             raw, spans = data.tobytes(), []
             extensions = block.column(2).to_pylist() if extension_col else None
             for k, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 own, base, more = raw[s:e], [], []
-                named = (b"=" in own or b":" in own) and any(w in (low := own.lower()) for w in WORDS_OF_ASSIGN)
-                if named or long[k] or b"AKIA" in own or k in by_row:
+                signs = b"=" in own or b":" in own
+                low = own.lower()
+                named = signs and any(w in low for w in WORDS_OF_ASSIGN)
+                opened = any(w in low for w in ROOTS)
+                if named or long[k] or b"AKIA" in own or k in by_row or opened:
                     text = own.decode("utf-8", "replace")
                     if named or long[k] or b"AKIA" in own:
                         base = base_spans(text)
-                    if k in by_row:
-                        point = (lambda b: b) if len(text) == len(own) else (lambda b: len(own[:b].decode("utf-8", "replace")))
-                        tokens = [(point(int(starts[j]) - s), point(int(ends[j]) - s)) for j in by_row[k]]
-                        more = [(a, 3, b) for a, b in field_spans(text, chain, tokens, extensions[k] if extensions else None) if not any(a < y and x < b for x, _, y in base)]
+                    if k in by_row or opened and OPENS.search(text):
+                        tokens = [b - s for b in by_row.get(k, ())]
+                        if tokens and len(text) != len(own):
+                            points = np.cumsum((data[s:e] & 0xC0) != 0x80)
+                            tokens = (points[tokens] - 1).tolist()
+                        more = [(a, 3, b) for a, b in field_spans(text, chain, extensions[k] if extensions else None, tokens) if not any(a < y and x < b for x, _, y in base)]
                 spans.append([{"kind": KINDS[c], "start": a, "end": b} for a, c, b in sorted(base + more)])
             kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(spans, kinds)], names=["id", "spans"])
