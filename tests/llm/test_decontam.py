@@ -58,11 +58,12 @@ def test_recall_against_brute_force(spark, items):
             edits = D.closest(D.normal(x), data)[0]
             if edits <= D.radius(len(D.normal(x)), D.EDIT_SHARE):
                 want[k, i] = edits
-    assert set(got) <= set(want) and len(set(got) & set(want)) >= 0.95 * len(want)
-    assert all(got[x].edits >= want[x] for x in got)
+    short = {(k, i) for k, t in docs for i, x in items[30:] if f" {x} " in f" {t} "}
+    assert set(got) - short <= set(want) and len(set(got) & set(want)) >= 0.97 * len(want)
+    assert all(got[x].edits >= want[x] for x in got if x in want)
     exact = {x for x in want if want[x] == 0}
     assert exact and exact <= set(got)
-    for r in got.values():
+    for r in (got[x] for x in want if x in got):
         passage = D.normal(dict(docs)[r.doc_id][r.start : r.end])
         assert D.closest(D.normal(items[r.item_id][1]), passage)[0] <= r.edits + 1
 
@@ -73,11 +74,11 @@ def test_rows(spark, items):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as edits", "3 as id", "'s' as start")
     bench = spark.createDataFrame([*items, (32, None), (3, x)], "item_id long, text string").selectExpr("*", "0 as doc_id")
     out = D.contaminated(df, bench).collect()
-    assert sorted(((r.doc_id or 0), r.item_id) for r in out) == [(0, 3), (3, 3), (3, 3), (4, 3), (5, 31)]
+    assert sorted(((r.doc_id or 0), r.item_id) for r in out) == [(0, 3), (3, 3), (3, 3), (4, 3), (5, 31), (6, 30)]
     spans = {r.doc_id: (r.start, r.end) for r in out}
     assert spans[None] == (2, 2 + len(x)) and spans[4] == (100_001, 100_001 + len(x))
     stay = D.decontaminate(df, bench).collect()
-    assert sorted(r.doc_id or 0 for r in stay) == [1, 2, 6] or sorted(r.doc_id or 0 for r in stay) == [0, 1, 2, 6]
+    assert sorted(r.doc_id or 0 for r in stay) == [1, 2] and stay[0].asDict().keys() == {"doc_id", "text", "item_id", "edits", "id", "start"}
     assert D.contaminated(df.limit(0), bench).count() == 0 and D.contaminated(df, bench.limit(0)).count() == 0
     assert D.decontaminate(df, bench.limit(0)).count() == len(docs)
 
@@ -87,6 +88,51 @@ def test_blocks_of_items(spark, items, monkeypatch):
     df = spark.createDataFrame([(k, t) for k, t in items[:30]], "doc_id long, text string")
     out = D.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in out if r.edits == 0} == {(k, k) for k in range(30)}
+    rng = np.random.default_rng(4)
+    rows = [(k, sentence(rng, 30)) for k in range(50)] + [(k, f"{sentence(rng, 9)} {t}, {sentence(rng, 9)}") for k, t in items[:30]] + [(99, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as c0", "2 as searched")
+    long = spark.createDataFrame(items[:30], "item_id long, text string")
+    assert sorted((r.doc_id or -1, r.text) for r in D.decontaminate(df, long).collect()) == sorted([(k or -1, t) for k, t in rows[:50] + rows[80:] if True], key=lambda x: (x[0], x[1]) if x[1] else (x[0], ""))
+
+
+def test_short_items():
+    finder = D.Finder([(1, "Yes."), (2, "42"), (3, "a b"), (4, "ü"), (5, "")])
+    texts = ["yes. 42", "4242 x42 42x", "(42)", "A  B c", "a bc", "ü uü", "", "yes.no"]
+    data, offsets, _ = D.normalised(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    assert sorted((t, i) for t, i, *_ in finder.found(data, offsets)) == [(0, 1), (0, 2), (2, 2), (3, 3), (5, 4), (7, 1)]
+
+
+def test_tables_reach_the_recall(items, monkeypatch):
+    """Edits of bytes and words at the edge of the radius, by tables alone; classes that fall short are verified without."""
+    finder, rng = D.Finder(items[:30]), np.random.default_rng(12)
+    assert all(c.direct or c.recall >= D.RECALL for c in finder.classes) and not all(c.direct for c in finder.classes)
+    caught = total = 0
+    for k, text in enumerate(finder.texts):
+        c = finder.classes[finder.class_of[k]]
+        for n in range(20):
+            passage = np.frombuffer((D.edited, D.reworded)[n % 2](text, finder.radii[k], rng), np.uint8)
+            caught += c.direct or bool(finder.in_tables(passage, c, np.array([0]), np.array([k]))[0])
+            total += 1
+        exact = np.frombuffer(text, np.uint8)
+        assert finder.in_tables(exact, c, np.array([0]), np.array([k]))[0]
+    assert caught >= 0.98 * total
+    monkeypatch.setattr(D, "RECALL", 1.1)
+    assert all(c.direct for c in D.Finder(items[:30]).classes)
+
+
+def test_embedding_against_a_plain_walk():
+    rng = np.random.default_rng(3)
+    walk, data = D.Walks(2, 50), rng.integers(97, 123, 80).astype(np.uint8)
+    got = walk.of(data, np.array([0, 10, 70]), np.array([40, 5, 40]))
+    for row, (s, n) in zip(got, ((0, 40), (10, 5), (70, 40))):
+        own = data[s : min(s + n, 80)].tolist()
+        for w in range(2):
+            i = 0
+            for j in range(50):
+                b = own[i] if i < len(own) else 0
+                assert row[50 * w + j] == b
+                i += int(walk.moves[w, j, b])
+
 
 
 def test_gram_filter_is_sound():
@@ -113,6 +159,7 @@ def test_passages_anywhere(items):
     rng = np.random.default_rng(5)
     chinese = ["".join(map(chr, rng.integers(0x4E00, 0x5000, int(rng.integers(12, 60))))) for _ in range(20)]
     finder = D.Finder([*items[:30], *enumerate(chinese, 100)])
+    missed = 0
     glue = ['"', "<p>", "](https://some.where/else)", "Q:", "x" * 20, "«", "—"]
     for k, text in enumerate(finder.texts):
         for n, edits in enumerate((0, 0, 0, finder.radii[k], finder.radii[k])):
@@ -120,14 +167,16 @@ def test_passages_anywhere(items):
             before = (chinese[(k + 1) % 20] if k >= 30 else sentence(rng, 20) + " ").encode() + glue[int(rng.integers(7))].encode()
             raw = np.frombuffer(before + passage + "。后来".encode() + sentence(rng, 5).encode(), np.uint8)
             data, offsets, _ = D.normalised(raw, np.array([0, len(raw)]))
-            got = {i: e for _, i, e, _, _ in finder.found(data, offsets)}
+            got = {finder.ids.index(i): e for _, i, e, _, _ in finder.found(data, offsets)}
             least = D.closest(text, data.tobytes())[0]  # runs of spaces fall together, which may add to the edits
-            assert got.get(k) == (least if least <= finder.radii[k] else None) and (edits or got[k] == 0), (k, n)
+            missed += got.get(k) != (least if least <= finder.radii[k] else None)
+            assert edits or got[k] == 0, (k, n)
+    assert missed <= 0.03 * 5 * len(finder.texts)
 
 
 @pytest.mark.parametrize("size", (81, 100, 130))
 def test_one_word_exchanged(size):
-    rng = np.random.default_rng(size)
+    rng, caught = np.random.default_rng(size), 0
     for _ in range(20):
         words = sentence(rng, 40).split()
         while len(" ".join(words)) > size:
@@ -137,4 +186,5 @@ def test_one_word_exchanged(size):
         at = int(rng.integers(len(words) - 1))
         other = [*words[:at], "".join(map(chr, rng.integers(97, 123, 9))), *words[at + 1 :]]
         raw = np.frombuffer(f"{sentence(rng, 9)} {' '.join(other)} {sentence(rng, 9)}".encode(), np.uint8)
-        assert [i for _, i, *_ in finder.found(raw, np.array([0, len(raw)]))] == [0]
+        caught += [i for _, i, *_ in finder.found(raw, np.array([0, len(raw)]))] == [1]
+    assert caught >= 19
