@@ -41,14 +41,24 @@ def width(spark: SparkSession) -> int:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one is set only where there is none, as in tests."""
+    """The folder in spark.checkpoint.dir; a local one only where there is none and the session is a local one, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a shared folder")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "kryptonym-checkpoints"))
     return sc.getCheckpointDir()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder of checkpoints, without their lineage."""
     checkpoint_dir(df.sparkSession)

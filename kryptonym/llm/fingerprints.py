@@ -6,9 +6,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RollingHash, as_bytes, blocks, prepare, width, word_spans
@@ -103,59 +104,60 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return out.select(F.col("id").alias(id_col), "fingerprint")
 
 
-def bucket_of(id_: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at most the id, by a binary tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
+#: The order of rows: (id, hash of the text); a null id comes first.
+LOWEST = -(1 << 63)
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        m = (low + high) // 2
-        return F.when(id_ >= bounds[m], tree(m + 1, high)).otherwise(tree(low, m))
 
-    return F.when(id_.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
+def places(bounds: list[tuple[int, int]], ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """How many of the ascending bounds (id, hash) are at most each (id, hash)."""
+    of, second = (np.array([x[k] for x in bounds], np.int64) for k in (0, 1))
+    low, high = np.searchsorted(of, ids, "left"), np.searchsorted(of, ids, "right")
+    for at in np.unique(low[high > low]):
+        same = np.flatnonzero((low == at) & (high > low))
+        low[same] = at + np.searchsorted(second[at : high[same[0]]], hashes[same], "right")
+    return low
 
 
 def in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, extra): rows dealt by ranges of the id and sorted by (id, text), each range followed by a copy
+    """(id, text, extra): rows dealt by ranges of (id, hash of the text) and sorted, each range followed by a copy
     (extra = 1) of the row that comes next in the whole order; the first row follows the last.
 
-    Bounds are quantiles of the ids, one for each partition; of each range only its smallest id reaches the driver.
+    Spark's own range partitioning of the ids and hashes gives the ranges; of each only its first row's id and hash reach
+    the driver. They go to the workers as one array, so the plan does not grow with the ranges.
     """
     spark = df.sparkSession
     n = width(spark)
     own = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = own.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(cuts or []))
-    bucket = bucket_of(F.col("id"), bounds)
-    first = dict(own.select(bucket.alias("b"), "id").groupBy("b").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("m")).select("b", "m.id").collect())
-    used = sorted(first)
-    target = {first[b]: used[k - 1] for k, b in enumerate(used)}
-    dealt = own.withColumn("extra", F.lit(0)).withColumn("bucket", bucket)
-    if target:
-        place = F.lit(None).cast("int")
-        at = sorted((i, b) for i, b in target.items() if i is not None)
-        pairs = F.create_map(*(F.lit(x) for pair in at for x in pair)) if at else None
-        wanted = F.col("id").isin([i for i, _ in at]) if at else F.lit(False)
-        if pairs is not None:
-            place = pairs[F.col("id")]
-        if None in target:
-            wanted = wanted | F.col("id").isNull()
-            place = F.when(F.col("id").isNull(), F.lit(target[None])).otherwise(place)
-        copies = own.where(wanted).groupBy("id").agg(F.min("text").alias("text"))
-        dealt = dealt.union(copies.select("id", "text", F.lit(1).alias("extra"), place.cast("int").alias("bucket")))
-    spread = dealt.repartitionById(max(n, len(bounds) + 1), F.col("bucket"))
-    return spread.sortWithinPartitions("extra", F.col("id").asc_nulls_first(), "text").select("id", "text", "extra")
+    keyed = own.select("id", "text", F.coalesce("id", F.lit(LOWEST)).alias("k"), F.xxhash64("text").alias("h"))
+    ranges = keyed.select("k", "h").repartitionByRange(n, "k", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("k", "h")).alias("first"))
+    firsts = sorted((r.first.k, r.first.h) for r in ranges.select("first").collect())
+    sent = spark.sparkContext.broadcast(firsts)
+
+    def bucket(k: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(places(sent.value, k.to_numpy(), h.to_numpy()) - 1, 0))
+
+    def before(k: pd.Series, h: pd.Series) -> pd.Series:
+        """The range that the row follows as a copy, -1 if the row is not the first of its own."""
+        at = np.maximum(places(sent.value, k.to_numpy(), h.to_numpy()) - 1, 0)
+        mine = np.array(sent.value, np.int64).reshape(-1, 2)[at] if len(at) else np.zeros((0, 2), np.int64)
+        return pd.Series(np.where((mine[:, 0] == k.to_numpy()) & (mine[:, 1] == h.to_numpy()), (at - 1) % len(sent.value), -1))
+
+    of = lambda f: F.pandas_udf(f, "long")("k", "h")
+    copies = keyed.withColumn("bucket", of(before)).where("bucket >= 0").groupBy("k", "h", "bucket").agg(F.min("text").alias("text"))
+    copies = copies.select(F.nullif("k", F.lit(LOWEST)).alias("id"), "text", "k", "h", F.lit(1).alias("extra"), "bucket")
+    dealt = keyed.select("id", "text", "k", "h", F.lit(0).alias("extra"), of(bucket).alias("bucket")).union(copies)
+    spread = dealt.repartitionById(max(n, len(firsts)), F.col("bucket").cast("int"))
+    return spread.sortWithinPartitions("extra", "k", "h", "text").select("id", "text", "extra")
 
 
 def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness and that to the next text's.
 
     The edited text has its last floor(n / 2) code points replaced by the first as many, or all, of the next
-    row's text in the order of (id, text); the first row follows the last. Ids are whole numbers; a null id
-    comes first, repeated ids in the order of their texts. Null text is empty; two texts without a word are
-    fully alike. A single row is its own next; an empty table gives none. Other columns are ignored.
+    row's text in the order of (id, hash of the text); the first row follows the last. Ids are whole numbers; a null id
+    comes first, repeated ids in the order of their texts' hashes. Null text is empty; texts of any length are read whole; two
+    texts without a word are fully alike. A single row is its own next; an empty table gives none. Other columns are
+    ignored, whatever their names.
     """
     prepare(df.sparkSession)
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

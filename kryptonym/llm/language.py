@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, prepare
+from .common import as_bytes, blocks, free_name, prepare
 
 BUCKETS = 1 << 16
 #: Pseudo-count of every bucket.
@@ -23,6 +23,8 @@ TEMPER = 64
 #: Grams scored at once.
 STEP = 1 << 16
 UNKNOWN = "und"
+#: Languages of a model; the driver holds a number for each of them and each bucket.
+MOST_LANGUAGES = 1024
 
 
 @lru_cache(1)
@@ -88,8 +90,9 @@ class Model:
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", alpha: float = ALPHA) -> Model:
     """A model from every row with a language: grams are counted in each partition, then added up by Spark.
 
-    The driver gets a number for each language and bucket. Rows with null language are not used; without rows the
-    model knows no language and predicts `und`.
+    The driver gets a number for each language and bucket; a column of more than MOST_LANGUAGES values is an error. Rows
+    with null language are not used, null and empty texts count for their language's share only, repeated rows each;
+    without rows the model knows no language and predicts `und`. Other columns are ignored.
     """
     prepare(df.sparkSession)
 
@@ -110,6 +113,8 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", alpha: fl
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(used) + 1), pa.string()), pa.array([-1, *used.tolist()], pa.int32()), pa.array([rows[name], *total[used].tolist()], pa.int64())], names=["lang", "bucket", "n"])
 
     own = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    if own.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError("too many languages")
     counts = own.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts.lang.unique())
     if not names:
@@ -126,7 +131,8 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", alpha: fl
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows with lang_pred and score (0 to 1) of the whole text; `und` and 0 for null text or one without a letter.
 
-    Repeated rows each get theirs; an empty table gives none; columns of these names are replaced.
+    Of equally likely languages the first by name is taken. Repeated rows each get theirs; an empty table gives none;
+    columns of these names are replaced, all others stay.
     """
     sent = prepare(df.sparkSession).sparkContext.broadcast(model)
 
@@ -141,5 +147,6 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": np.concatenate(scores)})
 
     guess = F.pandas_udf(predicted, "lang_pred string, score double")
-    made = df.withColumn("_guess", guess(F.col(text_col).cast("string")))
-    return made.withColumns({"lang_pred": F.col("_guess.lang_pred"), "score": F.col("_guess.score")}).drop("_guess")
+    name = free_name(df, "guess")
+    made = df.withColumn(name, guess(F.col(text_col).cast("string")))
+    return made.withColumns({"lang_pred": F.col(name)["lang_pred"], "score": F.col(name)["score"]}).drop(name)

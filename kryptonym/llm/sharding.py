@@ -59,11 +59,12 @@ def shard(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards:
 
     A row's size is its text's UTF-8 bytes plus 8. Texts fall into `groups` classes of their hash, the atomic
     groups; only their summed sizes reach the driver, at most `groups` numbers whatever the input. The capacity
-    is the smallest for which filling shards in order succeeds. Slots number a shard's rows without gaps in the
+    is the smallest for which filling shards in order succeeds: the optimum over these classes. An optimum over single
+    texts' groups could be better by less than the largest class, as every shard stays within its even share and one class. Slots number a shard's rows without gaps in the
     order (group, id): a range partitioning deals them out, so a group with many copies spreads over tasks.
 
     Null text: size 8, as empty, in the same group. Repeated rows each get a slot. Empty table: no rows. Other
-    columns of the input are ignored. Returns id, size, text_crc32, shard, slot, shard_group.
+    columns of the input are ignored, whatever their names; a text of any length counts whole; of equal ids the order follows the hash. Returns id, size, text_crc32, shard, slot, shard_group.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RollingHash, as_bytes, blocks, mixed, prepare, word_spans
@@ -211,17 +211,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Machine(place, w0, w, v)
 
 
-def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
-    """The rows with a score from 0 to 1 of the whole text. Null and empty texts get the score of no terms.
-
-    Repeated rows each get theirs; an empty table gives none; a column of the score's name is replaced.
-    """
-    sent = prepare(docs.sparkSession).sparkContext.broadcast(machine)
+def scored(spark: SparkSession, machine: Machine, text: Column) -> Column:
+    """The score from 0 to 1 of a column of whole texts; null and empty texts get the score of no terms."""
+    sent = prepare(spark).sparkContext.broadcast(machine)
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
             yield pd.Series(np.concatenate([np.zeros(0), *(sent.value.score(b.column(0)) for b in blocks(iter([batch])))]))
 
-    scored = F.pandas_udf(scores, "double")
-    return docs.withColumn(score_col, scored(F.col(text_col).cast("string")))
+    return F.pandas_udf(scores, "double")(text.cast("string"))
+
+
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
+    """The rows with a score from 0 to 1 of the whole text. Null and empty texts get the score of no terms.
+
+    Repeated rows and rows of any ids each get theirs; an empty table gives none; a column of the score's name is replaced.
+    """
+    return docs.withColumn(score_col, scored(docs.sparkSession, machine, F.col(text_col)))

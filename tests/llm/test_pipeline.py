@@ -2,12 +2,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
 from kryptonym.llm import decontam as D
 from test_linededup import plain as plain_lines
-from test_simhash import plain_components, plain_fingerprint
+from test_neardup import plain_classes
 
 
 def stage(spark, name, docs, sf):
@@ -36,7 +37,7 @@ def test_stages(spark, sf, tmp_path):
     assert {i: t for i, t, _, _ in plain_lines(before)} == after["line dedup"]
     _, before, _ = seen[2]
     ids = sorted(i for i, _ in before)
-    label = plain_components([plain_fingerprint(dict(before)[i]) for i in ids])
+    label = plain_classes([dict(before)[i] for i in ids])
     assert set(after["near-dedup"]) == {ids[k] for k in set(label)}
     _, before, _ = seen[3]
     items = [D.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
@@ -53,9 +54,44 @@ def test_stages(spark, sf, tmp_path):
     assert total == sum(len(x) // 4 for x in ids.values())
 
 
-def test_run(spark, sf):
+def test_run(spark, sf, tmp_path, monkeypatch):
+    """A run that died goes on behind its last whole stage and gives the same rows."""
     out = C.run(spark, sf)
     assert set(out.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} and out.count() > 100
+    folder, stages = f"file://{tmp_path}/run", list(C.STAGES)
+
+    def dies(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(C, "STAGES", [*stages[:3], ("decontamination", dies), stages[4]])
+    with pytest.raises(OSError):
+        C.run(spark, sf, folder)
+    monkeypatch.setattr(C, "STAGES", [*((n, dies) for n, _ in stages[:3]), *stages[3:]])
+    again = C.run(spark, sf, folder)
+    pieces = lambda df: sorted(tuple(r) for r in df.select("doc_id", "doc_tokens").distinct().collect())
+    assert pieces(again) == pieces(out)
+
+
+def test_columns_of_any_name(spark, sf):
+    """Columns that operators use inside keep their values through all stages."""
+    names = ["_toxicity", "toxicity", "n_lines", "n_dropped", "keys", "id", "node", "component_id", "c0", "searched", "score", "edits", "start", "guess", "label"]
+    text = "quite an ordinary sentence number {} that stands here alone for no reason at all"
+    docs = spark.createDataFrame([(i, text.format(i) * 2) for i in range(6)], "doc_id long, text string").selectExpr("doc_id", "text", *(f"'{n}' as {n}" for n in names))
+    for name, f in C.STAGES[:-1]:
+        docs = spark.createDataFrame(f(spark, docs, sf).collect(), docs.schema)
+        rows = docs.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name
+    assert C.STAGES[-1][1](spark, docs, sf).count() >= len(rows)
+
+
+def test_ties(spark, sf):
+    """Equal texts of different ids: one stays, that of the smallest; lines stay in the last; repeated rows fare alike."""
+    line = "a line that three documents have in common, word by word"
+    rows = [(i, f"{line}\nand something that is all of its own: number {i} and {i * i}") for i in (4, 2, 9)] + [(7, "the same text as another one has here"), (5, "the same text as another one has here"), (5, "the same text as another one has here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = C.stage_line_dedup(spark, docs, sf).collect()
+    assert {r.doc_id for r in out if line in r.text} == {9}
+    assert sorted(r.doc_id for r in C.stage_near_dedup(spark, docs, sf).collect() if r.doc_id in (5, 7)) == [5, 5]
 
 
 def test_empty(spark, sf):

@@ -62,4 +62,9 @@ def test_query(spark, sf):
     out = queries.QUERIES["op4_sharding"](spark, sf).collect()
     checked(out, 24)
     sizes = np.bincount([r.shard for r in out], [r.size for r in out], 24)
+    groups = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        groups[r.text] = groups.get(r.text, 0) + len((r.text or "").encode()) + 8
+    classes = np.bincount([r.shard_group for r in sharding.shard(spark.read.parquet(f"{sf}/documents.parquet")).collect()], [r.size for r in out])
+    assert sizes.max() <= -(-sizes.sum() // 24) + max(max(groups.values()), int(classes.max()))
     assert len(out) == 200 and sizes.max() <= sizes.sum() / 24 + max(r.size for r in out) * 2
