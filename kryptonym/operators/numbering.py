@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir; a local folder only where none is set, as in tests."""
+    """The rows, written to the folder in spark.checkpoint.dir; a local folder only where none is set in a local session, as in tests."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "kryptonym-checkpoints"))
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a shared folder")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "kryptonym-checkpoints"))
     return df.checkpoint()
 
 
