@@ -17,8 +17,8 @@ from .common import RollingHash, as_bytes, blocks, prepare, width, word_spans
 SAMPLES = 128
 #: Rows of the tables of random variables. A word draws (r, beta) and c from rows that two parts of its hash name.
 ROWS = 1 << 13
-#: Weighted words sampled at once.
-STEP = 1 << 13
+#: Weighted words sampled at once: their values stay in a core's cache.
+STEP = 1 << 10
 
 
 class Sampler:
