@@ -29,6 +29,8 @@ FACTORS = 4
 #: Leading bytes of a word that are terms besides the word.
 PREFIXES = (4, 5, 6)
 ROUNDS = 200
+#: Values summed at once by the fit.
+CHUNK = 1 << 21
 #: Weight of the squared parameters, on average over them.
 L2 = 1.0
 
@@ -83,22 +85,56 @@ def margin(n: int, row: np.ndarray, kept: np.ndarray, w0: float, w: np.ndarray,
     return out + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
+class Held:
+    """Which row holds which term, in the order of the rows and in that of the terms, for sums over either."""
+
+    def __init__(self, n: int, row: np.ndarray, term: np.ndarray, size: int):
+        self.n, self.size = n, size
+        self.by_row, by = self._cut(row, term), np.argsort(term, kind="stable")
+        self.by_term = self._cut(term[by], row[by])
+
+    @staticmethod
+    def _cut(of: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+        return of[first], first, what
+
+    def _sums(self, cut: tuple, values: np.ndarray, size: int) -> np.ndarray:
+        (of, first, what), out = cut, np.zeros((size, values.shape[1]), np.float32)
+        ends = np.append(first[1:], len(what))
+        k = 0
+        while k < len(of):  # as many groups as make some CHUNK values
+            to = max(k + 1, int(np.searchsorted(ends, first[k] + CHUNK)))
+            part = values[what[first[k] : ends[to - 1]]]
+            out[of[k:to]] = np.add.reduceat(part, first[k:to] - first[k], axis=0)
+            k = to
+        return out
+
+    def of_rows(self, values: np.ndarray) -> np.ndarray:
+        """For each row the sum of its terms' values, (terms, any number) float32."""
+        return self._sums(self.by_row, values, self.n)
+
+    def of_terms(self, values: np.ndarray) -> np.ndarray:
+        """For each term the sum of its rows' values."""
+        return self._sums(self.by_term, values, self.size)
+
+
 def fit_machine(n: int, row: np.ndarray, kept: np.ndarray, label: np.ndarray, size: int, factors: int = FACTORS, rounds: int = ROUNDS, l2: float = L2) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic loss, each label weighing half, by Adam over all rows."""
-    rng = np.random.default_rng(0)
-    base, w, v = np.array([0.0]), np.zeros(size), rng.normal(0, 0.05, (size, factors))
+    """Logistic loss, each label weighing half, by Adam over all rows. row ascends."""
+    rng, held = np.random.default_rng(0), Held(n, row, kept, size)
+    base, p = np.zeros(1), np.concatenate([np.zeros((size, 1)), rng.normal(0, 0.05, (size, factors))], 1).astype(np.float32)  # w and v
     weight = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
-    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (base, w, v)]
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (base, p)]
     for t in range(1, rounds + 1):
-        x, sums = margin(n, row, kept, base[0], w, v)
-        g = weight * (sigmoid(x) - label)
-        of = g[row]
-        gv = np.stack([np.bincount(kept, of * sums[row, f], size) for f in range(factors)], 1) - v * np.bincount(kept, of, size)[:, None]
-        for p, grad, (m, s) in zip((base, w, v), (np.array([g.sum()]), np.bincount(kept, of, size) + l2 * w / max(size, 1), gv + l2 * v / max(size, 1)), state):
-            m += 0.1 * (grad - m)
-            s += 0.001 * (grad**2 - s)
-            p -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    return float(base[0]), w, v
+        sums = held.of_rows(np.concatenate([p, (p[:, 1:] ** 2).sum(1, keepdims=True)], 1))
+        x = base[0] + sums[:, 0] + 0.5 * ((sums[:, 1:-1] ** 2).sum(1) - sums[:, -1])
+        g = (weight * (sigmoid(x) - label)).astype(np.float32)[:, None]
+        grad = held.of_terms(np.concatenate([g, g * sums[:, 1:-1]], 1))
+        grad[:, 1:] -= p[:, 1:] * grad[:, :1]
+        for q, d, (m, s) in zip((base, p), (g.sum(0), grad + l2 * p / max(size, 1)), state):
+            m += 0.1 * (d - m)
+            s += 0.001 * (d**2 - s)
+            q -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    return float(base[0]), p[:, 0].astype(float), p[:, 1:].astype(float)
 
 
 def standing_out(row: np.ndarray, term: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
@@ -130,7 +166,7 @@ def unexplained(n: int, row: np.ndarray, term: np.ndarray, label: np.ndarray, si
     return out
 
 
-def paired(n: int, row: np.ndarray, term: np.ndarray, rest: np.ndarray, size: int, most: int = PAIRED, least: float = PAIR_Z, directions: int = 8, rounds: int = 12) -> np.ndarray:
+def paired(n: int, row: np.ndarray, term: np.ndarray, rest: np.ndarray, size: int, most: int = PAIRED, least: float = PAIR_Z, directions: int = 4, rounds: int = 8) -> np.ndarray:
     """Terms in pairs that occur together in rows whose rest (what is unexplained) is of one sign.
 
     The matrix of rest-weighted co-occurrences is never built: its leading directions are found by power iteration, each time
@@ -138,10 +174,11 @@ def paired(n: int, row: np.ndarray, term: np.ndarray, rest: np.ndarray, size: in
     """
     if not size:
         return np.zeros(0, np.int64)
-    rng = np.random.default_rng(0)
-    own, v = np.bincount(term, rest[row], size), rng.normal(size=(size, directions))
+    rng, held = np.random.default_rng(0), Held(n, row, term, size)
+    rest = rest.astype(np.float32)
+    own, v = held.of_terms(rest[:, None]), rng.normal(size=(size, directions)).astype(np.float32)
     for _ in range(rounds):
-        made = np.stack([np.bincount(term, (rest * np.bincount(row, v[term, f], n))[row], size) for f in range(v.shape[1])], 1) - own[:, None] * v
+        made = held.of_terms(rest[:, None] * held.of_rows(v)) - own * v
         kept = np.argsort(-np.abs(made).max(1), kind="stable")[:most]
         v = np.zeros_like(made)
         v[kept] = made[kept]
@@ -149,12 +186,12 @@ def paired(n: int, row: np.ndarray, term: np.ndarray, rest: np.ndarray, size: in
         v = v[:, np.abs(v).max(0) > 0]
     kept = np.sort(kept)
     row, term = only(row, term, size, kept)
-    held = np.zeros((n, len(kept)), np.float32)
-    held[row, term] = 1
-    together = held.T @ (held * rest[:, None].astype(np.float32))
-    spread = np.sqrt(held.T @ (held * (rest**2)[:, None].astype(np.float32)) + 1e-6)
+    dense = np.zeros((n, len(kept)), np.float32)
+    dense[row, term] = 1
+    together = dense.T @ (dense * rest[:, None])
+    spread = np.sqrt(dense.T @ (dense * (rest**2)[:, None]) + 1e-6)
     far = np.abs(together) / spread
-    far[held.T @ held < 4] = 0
+    far[dense.T @ dense < 4] = 0
     np.fill_diagonal(far, 0)
     return kept[(far >= least).any(1)]
 
