@@ -17,8 +17,8 @@ from kryptonym.shipping import ship
 #: Bytes of text handled by one vectorised step in a Python worker; a longer text is one step of its own.
 BLOCK_BYTES = 1 << 20
 
-#: Rows of one Arrow batch sent to a Python worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch sent to a Python worker; a longer row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 #: Links in one file of a round of connected components.
 ROWS_OF_LINKS = 100_000
@@ -28,6 +28,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make this package importable on the executors and keep Arrow batches small."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 

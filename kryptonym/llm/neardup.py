@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, as_bytes, blocks, checkpointed, connected, mixed, width, word_spans
+from .common import FEW_IDS, RollingHash, as_bytes, blocks, checkpointed, connected, mixed, prepare, width, word_spans
 from .simhash import named, planes_of, within
 
 WORDS = 5
@@ -142,7 +142,7 @@ def unit_links(node: np.ndarray, bits: np.ndarray, keys: np.ndarray, band: int,
     split = int(np.searchsorted(side, 1)) if side[0] == 0 else n
     queries = np.arange(split) if side[0] == 0 else np.arange(n)
     low = np.full(len(queries), split) if side[0] == 0 else queries + 1
-    out = []
+    out, size = [], np.array([len(held[k]) for k in order])
 
     def top(x: int) -> int:
         while label[x] != x:
@@ -153,7 +153,6 @@ def unit_links(node: np.ndarray, bits: np.ndarray, keys: np.ndarray, band: int,
     for q, lane in within(planes_of(bits), bits[queries], low, np.full(len(queries), n), radius):
         a, b = queries[q], lane
         earlier = (keys[a, :band] == keys[b, :band]).any(1) if band else np.zeros(len(a), bool)
-        size = np.array([len(held[order[k]]) for k in range(n)])
         few, many = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         use = ~earlier & (few >= similarity * many)
         a, b = a[use], b[use]
@@ -238,21 +237,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the sets themselves. Buckets of up to PART nodes are compared whole. A larger one is cut into parts of about
     PART: first the nodes of each part are compared, then, once the classes so found are known, the parts of its other
     classes with each other and with those of its largest class. So every pair of a bucket is compared or in one class
-    already, no pairs are written, and no task holds more than two parts. component_id is the smallest id reachable.
+    already, no pairs are written, and no comparison holds more than two parts. component_id is the smallest id reachable.
 
     Null and empty texts are one class; texts of any length are read whole; rows that link to no row with an id have a
     null component_id; repeated rows keep their rows; an empty table gives none. Other columns are ignored, whatever their
     names. Returns id, component_id.
     """
+    prepare(df.sparkSession)
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpointed(sketches(own, words))
     nodes = rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     nodes = checkpointed(nodes)
     marks = nodes.where(F.exists("keys", lambda k: k != 0)).select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "node")
-    shared = marks.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # of several bands whose buckets hold the same nodes the first is enough
+    mark = F.xxhash64("node", F.lit(7))
+    shared = marks.groupBy("key").agg(F.count("*").alias("size"), F.min("band").alias("of"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("y")).where("size > 1")
+    shared = shared.groupBy("size", "x", "y").agg(F.min(F.struct("of", "key")).alias("one")).select(F.col("one.key").alias("key"), "size")
     buckets = checkpointed(marks.join(shared, "key"))
-    needed = buckets.select("node").distinct()
-    sets = shingle_sets(own, words).join(needed, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
+    needed = checkpointed(buckets.select("node").distinct())
+    some = F.broadcast(needed) if needed.count() <= FEW_IDS else needed
+    sets = shingle_sets(own, words).join(some, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
     sets = checkpointed(sets.join(nodes.select("node", "bits", "keys"), "node"))
     first = buckets.select("key", part_of("node", F.col("size")).alias("one"), F.lit(0).cast("long").alias("two"), F.lit(2).cast("long").alias("side"), "band", "node", F.col("node").alias("root"))
     links = checkpointed(links_in_units(first.join(sets, "node"), similarity, radius))
