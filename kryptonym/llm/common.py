@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kryptonym.shipping import ship
 
 #: Bytes of text handled by one vectorised step in a Python worker; a longer text is one step of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; a longer row is a batch of its own.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20

@@ -30,7 +30,7 @@ RECALL = 0.99
 #: Bytes between the places where windows are looked at together.
 STRIDE = 8
 #: Places of shared grams held at once, windows embedded at once, bytes of texts searched at once.
-POSTINGS, WINDOWS, SEARCHED = 1 << 20, 1 << 12, 4 << 20
+POSTINGS, WINDOWS, SEARCHED = 1 << 20, 1 << 12, 1 << 20
 #: Items of one block, and their bytes.
 BLOCK_ITEMS, BLOCK_ITEM_BYTES = 4096, 4 << 20
 #: Bits of the filter over the grams of all items, by which rows are set aside before the blocks, if there are several.
@@ -173,11 +173,10 @@ class Finder:
         by = np.argsort(every, kind="stable")
         self.post_item = np.repeat(np.arange(len(made)), [len(g) for g in made])[by]
         self.post_at = np.concatenate([np.arange(len(g)) for g in made])[by] if made else every
-        # postings of a gram: since to until
-        self.since, self.until = np.zeros(1 << 24, np.int32), np.zeros(1 << 24, np.int32)
-        kinds, many = np.unique(every, return_counts=True)
-        self.until[kinds] = np.cumsum(many)
-        self.since[kinds] = np.cumsum(many) - many
+        # the grams, ascending, and where the postings of each begin and end
+        self.kinds, many = np.unique(every, return_counts=True)
+        self.until = np.cumsum(many)
+        self.since = self.until - many
         self.longest = max(map(len, self.texts), default=0)
         self.edits, self.sizes = np.array(self.radii, np.int64), np.array([*map(len, self.texts)], np.int64)
         self.least = np.array([len(t) - GRAM + 1 - GRAM * e for t, e in zip(self.texts, self.radii)], np.int64)
@@ -265,12 +264,13 @@ class Finder:
             while to < len(regions) and (to == at or many < POSTINGS):
                 more = regions[to, 0] + np.flatnonzero(hit[regions[to, 0] : regions[to, 1]])
                 pos.append(more)
-                many += int((self.until[own[more]] - self.since[own[more]]).sum())
+                kind = np.searchsorted(self.kinds, own[more])
+                many += int((self.until[kind] - self.since[kind]).sum())
                 to += 1
             at = to
             p = np.concatenate(pos)
-            count = self.until[own[p]] - self.since[own[p]]
-            begin = self.since[own[p]]
+            kind = np.searchsorted(self.kinds, own[p])
+            begin, count = self.since[kind], self.until[kind] - self.since[kind]
             k = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
             item = self.post_item[k].astype(np.int64)
             where = np.repeat(p, count)

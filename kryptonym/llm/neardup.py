@@ -24,6 +24,8 @@ BANDS, ROWS = 20, 4
 RADIUS = 22
 #: Texts of a bucket that one task compares with each other; a larger bucket is cut into parts of about so many.
 PART = 512
+#: Near pairs of a unit looked at together.
+PAIRS = 1 << 15
 SEED = 42
 
 _random = np.random.default_rng(SEED)
@@ -150,18 +152,23 @@ def unit_links(node: np.ndarray, bits: np.ndarray, keys: np.ndarray, band: int,
             x = label[x]
         return x
 
+    shared = np.ascontiguousarray(keys[:, :band].T)
     for q, lane in within(planes_of(bits), bits[queries], low, np.full(len(queries), n), radius):
-        a, b = queries[q], lane
-        earlier = (keys[a, :band] == keys[b, :band]).any(1) if band else np.zeros(len(a), bool)
-        few, many = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        use = ~earlier & (few >= similarity * many)
-        a, b = a[use], b[use]
-        near = np.bitwise_count(bits[a] ^ bits[b])
-        for k in np.argsort(near, kind="stable").tolist():
-            x, y = top(a[k]), top(b[k])
-            if x != y and similar(np.frombuffer(held[order[a[k]]], np.uint64), np.frombuffer(held[order[b[k]]], np.uint64), similarity):
-                label[max(x, y)] = min(x, y)
-                out.append((int(node[a[k]]), int(node[b[k]])))
+        for k in range(0, len(q), PAIRS):
+            a, b = queries[q[k : k + PAIRS]], lane[k : k + PAIRS]
+            while not np.array_equal(label, label[label]):
+                label = label[label]
+            few, many = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            use = (label[a] != label[b]) & (few >= similarity * many)
+            a, b = a[use], b[use]
+            for mark in shared:
+                use = mark[a] != mark[b]
+                a, b = a[use], b[use]
+            for x, y in zip(a.tolist(), b.tolist()):
+                one, two = top(x), top(y)
+                if one != two and similar(np.frombuffer(held[order[x]], np.uint64), np.frombuffer(held[order[y]], np.uint64), similarity):
+                    label[max(one, two)] = min(one, two)
+                    out.append((int(node[x]), int(node[y])))
     return out
 
 

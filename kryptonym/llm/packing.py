@@ -22,10 +22,12 @@ OPEN = 16
 #: A gap of at least so many tokens in the fullest window is filled by cutting a document; a smaller one is padded.
 LEAST_CUT = 32
 END_ID = 2
+#: Bytes of texts encoded at once.
+PACKED = 1 << 18
 #: Partitions whose last windows are merged together.
 MERGED = 64
 #: Units whose ids each of a worker's two generations remembers; a unit of more than LONG bytes is never remembered.
-MEMORY, LONG = 1_000_000, 64
+MEMORY, LONG = 200_000, 64
 
 
 class Memory:
@@ -340,7 +342,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
         kinds = [pa.int64()] * 7 + [pa.bool_()]
-        for block in blocks(batches, most=2 << 20):
+        for block in blocks(batches, most=PACKED):
             found, at = encoder.of_block(*as_bytes(block.column(1)))
             raw, kinds[0] = found.tobytes(), block.column(0).type
             for doc, s, e in zip(block.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
