@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,7 +56,7 @@ def scored(corpus: DataFrame, runs: DataFrame) -> DataFrame:
     quality, all of them whether the output is reproducible (null for a single run).
     """
     seconds = F.min_by("seconds", "run") if "seconds" in runs.columns else F.lit(None).cast("double")
-    first = runs.groupBy("id").agg(F.min_by("output", "run").alias("output"), F.count("*").alias("n_runs"), (F.count_distinct(squeezed(F.col("output"))) == 1).alias("same"), seconds.alias("seconds"))
+    first = runs.groupBy("id").agg(F.min_by("output", "run").alias("output"), F.count("*").alias("n_runs"), (F.min(F.xxhash64(squeezed(F.col("output")))) == F.max(F.xxhash64(squeezed(F.col("output"))))).alias("same"), seconds.alias("seconds"))
     out = corpus.join(first, "id")
     missed = F.filter("must_mask", lambda s: ~is_masked(s, F.col("output")))
     false_alarms = F.filter("must_stay", lambda s: ~is_kept(s, F.col("output")))
@@ -69,9 +71,11 @@ def summary(scores: DataFrame) -> DataFrame:
 
 
 def warm_seconds(scores: DataFrame, order: str = "id") -> DataFrame:
-    """The mean seconds of all texts but the first."""
-    first = scores.agg(F.min(order)).first()[0]
-    return scores.where((F.col(order) != F.lit(first)) & (F.col("seconds") > 0)).agg(F.coalesce(F.round(F.avg("seconds"), 2), F.lit(0.0)).alias("seconds"))
+    """The mean seconds of all texts but the first; texts without a time don't count."""
+    timed = F.col("seconds") > 0
+    first = F.min_by(F.when(timed, F.col("seconds")), order)
+    total, n = F.sum(F.when(timed, F.col("seconds"))) - F.coalesce(first, F.lit(0.0)), F.count_if(timed) - first.isNotNull().cast("int")
+    return scores.agg(F.coalesce(F.round(F.when(n > 0, total / n), 2), F.lit(0.0)).alias("seconds"))
 
 
 def cyrillic_share(text: Column) -> Column:
@@ -103,6 +107,14 @@ def meaning_gate(answers: DataFrame) -> DataFrame:
     return answers.agg(a.alias("own"), b.alias("other"), ((a >= OWN_THESIS) & (b <= OTHER_THESIS)).alias("passed"))
 
 
+def both_gates(recognition: DataFrame, meaning: DataFrame) -> DataFrame:
+    """The judge's two gates in one row: it may judge if it passes both."""
+    a = judge_gate(recognition).select("positive", "negative", F.col("passed").alias("recognises"))
+    b = meaning_gate(meaning).select("own", "other", F.col("passed").alias("understands"))
+    one = lambda df: df.withColumn("row", F.lit(1))
+    return one(a).join(one(b), "row").drop("row").withColumn("passed", F.col("recognises") & F.col("understands"))
+
+
 def next_thesis(df: DataFrame, order: str, thesis: str) -> DataFrame:
     """Each row with the next row's thesis in the order; the first follows the last. By a join on numbered rows."""
     from .numbering import checkpointed, numbered
@@ -131,6 +143,22 @@ def judged(rows: DataFrame, prompt: Column, call, out_col: str = "answer") -> Da
     return rows.withColumn(out_col, F.pandas_udf(run, "string")(prompt))
 
 
+class HttpModel:
+    """A call for `judged`: each prompt is posted to a model's server, with temperature 0 and a fixed seed; its answer is the field `response`."""
+
+    def __init__(self, url: str, model: str, seed: int = 42, seconds: float = 120):
+        self.url, self.model, self.seed, self.seconds = url, model, seed, seconds
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [self._one(p) for p in prompts]
+
+    def _one(self, prompt: str) -> str:
+        body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": 0, "seed": self.seed}}
+        asked = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(asked, timeout=self.seconds) as answer:
+            return json.loads(answer.read())["response"]
+
+
 def rejudged(outputs: DataFrame, corpus: DataFrame) -> DataFrame:
     return outputs.join(corpus, "id")
 

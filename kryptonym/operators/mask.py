@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kryptonym.functions.columns import inner
 from kryptonym.functions.rules import BY_ID, RULES, chosen
-from kryptonym.functions.text import PLACEHOLDER
+from kryptonym.functions.text import PLACEHOLDER, collapse_digits, may_be_loose
 
 from .masker import PASSES, Config, Masker
-from .numbering import numbered
+from .numbering import checkpointed, joined_hot, numbered
 
 KEY = "struct<ord: int, placeholder: string, type_id: string, type: string, original: string>"
 MASKED = f"text string, keys array<{KEY}>"
@@ -41,34 +42,48 @@ def masked_column(text: Column, config: Config | None = None) -> Column:
     return F.pandas_udf(run, MASKED)(text.cast("string"))
 
 
-def native_masked(df: DataFrame, text_col: str, enabled: set[str], preprocessed: bool = False) -> DataFrame:
-    """The same for a few rules, without Python: adds columns text_masked and keys.
+def native_masked(df: DataFrame, text_col: str, enabled: set[str], composed: bool = False) -> DataFrame:
+    """The same for a few rules of patterns alone, by built-in functions: adds columns text_masked and keys.
 
     For each pattern the matches are taken apart, new values are appended to those known of the type, and the text is
-    put together again around `[LABEL_n]`, n being a value's place among them. Text without a match is passed on.
+    put together again around `[LABEL_n]`, n being a value's place among them. Text without a match is passed on. Spaced
+    digits are joined first. Letters can't be composed (NFC) by built-in functions: rows that hold a character that
+    composed text lacks go through `masked_column`; `composed` says that there are none, so that the table is read once.
     """
-    space = r"(?U)^\s+|\s+$"
-    out = df.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     rules = chosen(frozenset(enabled))
     for rule in rules:
-        out = out.withColumn(f"_k_{rule.id}", F.array().cast("array<string>"))
-        for pattern in rule.java():
-            out = out.withColumn("_hit", F.col("_t").rlike(pattern))
-            hit, p = F.col("_hit"), F.lit(pattern)
-            taken = {n: F.when(hit, F.regexp_extract_all("_t", p, F.lit(i))) for i, n in enumerate(("_pre", "_val", "_suf"), 1)}
-            out = out.withColumns(taken | {"_gap": F.when(hit, F.split("_t", pattern, -1))})
-            bare = F.transform("_val", lambda v: F.regexp_replace(v, space, ""))
-            out = out.withColumns({"_bare": bare, "_k": F.col(f"_k_{rule.id}")})
-            known = F.when(F.col("_bare").isNull(), F.col("_k")).otherwise(F.concat("_k", F.array_except(F.array_distinct(F.filter("_bare", lambda v: v != "")), "_k")))
-            out = out.withColumn(f"_k_{rule.id}", known)
-            tokens = F.zip_with("_val", "_bare", _token(rule.label, F.col(f"_k_{rule.id}")))
-            inner = F.zip_with(F.zip_with("_pre", tokens, lambda a, b: F.concat(a, b)), "_suf", lambda a, b: F.concat(a, b))
-            text = F.array_join(F.zip_with("_gap", inner, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
-            out = out.withColumn("_t", F.when(F.col("_bare").isNull(), F.col("_t")).otherwise(text))
-    keys = [F.transform(F.col(f"_k_{r.id}"), _key(r.id, r.label)) for r in rules]
+        rule.java()  # a rule that takes more than patterns is an error
+    if composed:
+        return _native(df, text_col, rules)
+    apart = may_be_loose(F.col(text_col))
+    name = inner(df, "_m")[0]
+    rest = df.where(apart).withColumn(name, masked_column(F.col(text_col), Config(enabled=frozenset(enabled))))
+    rest = rest.select(*df.columns, F.col(name)["text"].alias("text_masked"), F.coalesce(F.col(name)["keys"], F.array()).alias("keys"))
+    return _native(df.where(~apart), text_col, rules).unionByName(rest)
+
+
+def _native(df: DataFrame, text_col: str, rules: list) -> DataFrame:
+    space = r"(?U)^\s+|\s+$"
+    t, found, pre, gap, bare, *known = inner(df, "_t", "_val", "_pre", "_gap", "_bare", *(f"_k_{r.id}" for r in rules))
+    out = df.withColumn(t, collapse_digits(F.coalesce(F.col(text_col), F.lit(""))))
+    for rule, k in zip(rules, known):
+        out = out.withColumn(k, F.array().cast("array<string>"))
+        for form, pattern in zip(rule.forms, rule.java()):
+            p = F.lit(pattern)
+            # what follows the value is looked at, never taken
+            out = out.withColumn(found, F.regexp_extract_all(t, p, F.lit(2)))
+            hit = F.size(found) > 0
+            before = F.regexp_extract_all(t, p, F.lit(1)) if form[0] else F.transform(found, lambda v: F.lit(""))
+            out = out.withColumns({pre: F.when(hit, before), gap: F.when(hit, F.split(t, pattern, -1)), bare: F.when(hit, F.transform(found, lambda v: F.regexp_replace(v, space, "")))})
+            more = F.array_except(F.array_distinct(F.filter(bare, lambda v: v != "")), k)
+            out = out.withColumn(k, F.when(hit, F.concat(k, more)).otherwise(F.col(k)))
+            tokens = F.zip_with(found, bare, _token(rule.label, F.col(k)))
+            inside = F.zip_with(pre, tokens, lambda a, b: F.concat(a, b))
+            text = F.array_join(F.zip_with(gap, inside, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+            out = out.withColumn(t, F.when(hit, text).otherwise(F.col(t)))
+    keys = [F.transform(F.col(k), _key(r.id, r.label)) for r, k in zip(rules, known)]
     joined = F.transform(F.concat(*keys), lambda k, i: F.struct((i + 1).alias("ord"), k["placeholder"].alias("placeholder"), k["type_id"].alias("type_id"), k["type"].alias("type"), k["original"].alias("original")))
-    out = out.withColumn("keys", joined).withColumn("text_masked", F.when(F.col(text_col).isNotNull(), F.col("_t")))
-    return out.select(*df.columns, "text_masked", "keys")
+    return out.select(*df.columns, F.when(F.col(text_col).isNotNull(), F.col(t)).alias("text_masked"), joined.alias("keys"))
 
 
 def _token(label: str, known: Column):
@@ -110,8 +125,9 @@ def mask(df: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc
     only their keys are shuffled, as one row for each distinct value, and numbered over a range partitioning.
     Null text stays null and has no keys.
     """
-    made = df.withColumn("_m", masked_column(F.col(text_col), config))
-    made = made.select(*df.columns, F.col("_m.text").alias("text_masked"), F.coalesce("_m.keys", F.array()).alias("keys"))
+    name = inner(df, "_m")[0]
+    made = df.withColumn(name, masked_column(F.col(text_col), config))
+    made = made.select(*df.columns, F.col(name)["text"].alias("text_masked"), F.coalesce(F.col(name)["keys"], F.array()).alias("keys"))
     if scope == "row":
         return made
     if scope not in ("group", "batch"):
@@ -120,20 +136,31 @@ def mask(df: DataFrame, text_col: str = "text", id_cols: tuple[str, ...] = ("doc
 
 
 def renumbered(made: DataFrame, id_cols: list[str], group_cols: list[str]) -> DataFrame:
+    """The rows of the row scope with numbers shared in each group. Texts are masked once; those without a key are not dealt."""
+    made = checkpointed(made)
     ids = [c for c in dict.fromkeys([*group_cols, *id_cols])]
-    each = made.where(F.size("keys") > 0).select(*ids, F.explode("keys").alias("k"), "keys")
-    full = each.select(*ids, F.col("k.ord").alias("pos"), F.col("k.placeholder").alias("local"), F.col("k.type").alias("type"), F.col("k.type_id").alias("type_id"), F.col("k.original").alias("value"), restored(F.col("k.original"), F.col("keys")).alias("full"))
-    by = [*group_cols, "type"]
-    first = full.groupBy(*by, "type_id", "full").agg(F.min(F.struct(*id_cols, "pos")).alias("at"))
-    number = numbered(first, by, ["at", "type_id", "full"]).withColumn("global", F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("n").cast("string"), F.lit("]")))
-    named = full.join(number.select(*by, "type_id", "full", "global", "n", F.col("at").alias("first_at")), [*by, "type_id", "full"])
-    own = F.struct("pos", "local", "global", "type_id", "type", "value", F.struct(*id_cols, "pos").eqNullSafe(F.col("first_at")).alias("is_first"))
-    lists = named.groupBy(*ids).agg(F.array_sort(F.collect_list(own)).alias("own"))
-    joined = made.join(lists, ids, "left").withColumn("names", F.map_from_entries(F.transform("own", lambda x: F.struct(x["local"], x["global"]))))
-    keys = F.transform("own", lambda x: F.struct(x["pos"].alias("ord"), x["global"].alias("placeholder"), x["type_id"].alias("type_id"), x["type"].alias("type"), swapped(x["value"], F.col("names")).alias("original")))
-    text = F.when(F.col("own").isNull(), F.col("text_masked")).otherwise(swapped(F.col("text_masked"), F.col("names")))
+    keyed = made.where(F.size("keys") > 0).select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(ids)), "keys")
+    own, group = [f"i{k}" for k in range(len(ids))], [f"i{k}" for k in range(len(group_cols))]
+    rank = F.struct(*(f"i{ids.index(c)}" for c in id_cols), "pos")
+    full = keyed.select(*own, F.explode("keys").alias("k"), "keys").select(*own, F.col("k.ord").alias("pos"), F.col("k.placeholder").alias("local"), F.col("k.type").alias("type"), F.col("k.type_id").alias("type_id"), F.col("k.original").alias("value"), restored(F.col("k.original"), F.col("keys")).alias("full"))
+    # a group may be null: as text of its parts it is a key like any other
+    full = checkpointed(full.withColumn("g", F.to_json(F.array(*(F.col(c).cast("string") for c in (*group, "type"))))))
+    first = full.groupBy("g", "type", "type_id", "full").agg(F.min(rank).alias("at"))
+    number = numbered(first, ["g"], ["at", "type_id", "full"])
+    number = number.select("g", "type_id", "full", F.concat(F.lit("["), F.col("type"), F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("global"), F.col("at").alias("first_at"))
+    named = joined_hot(full, number, ["g", "type_id", "full"])
+    one = F.struct("pos", "local", "global", "type_id", "type", "value", rank.eqNullSafe(F.col("first_at")).alias("is_first"))
+    lists = named.groupBy(*own).agg(F.array_sort(F.collect_list(one)).alias("named"))
+    lists = lists.select(F.struct(*own).alias("who"), "named")
+    who, known, names = inner(made, "_who", "_named", "_names")
+    lists = lists.select(F.col("who").alias(who), F.col("named").alias(known))
+    mine = F.struct(*(F.col(c).alias(f"i{k}") for k, c in enumerate(ids)))
+    held = made.where(F.size("keys") > 0)
+    joined = held.withColumn(who, mine).join(lists, who).withColumn(names, F.map_from_entries(F.transform(known, lambda x: F.struct(x["local"], x["global"]))))
+    keys = F.transform(known, lambda x: F.struct(x["pos"].alias("ord"), x["global"].alias("placeholder"), x["type_id"].alias("type_id"), x["type"].alias("type"), swapped(x["value"], F.col(names)).alias("original")))
     rest = [c for c in made.columns if c not in ("text_masked", "keys")]
-    return joined.select(*rest, text.alias("text_masked"), F.coalesce(keys, F.array()).alias("keys"))
+    done = joined.select(*rest, swapped(F.col("text_masked"), F.col(names)).alias("text_masked"), keys.alias("keys"))
+    return done.union(made.where(F.size("keys") == 0).select(*rest, "text_masked", "keys"))
 
 
 def key_table(masked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -38,7 +38,6 @@ class Masker:
     def __post_init__(self):
         self._known: dict[tuple[str, str], str] = {}
         self._rules = compiled(self.config.enabled)
-        self._entries = [(e, e.python()) for e in self.config.dictionary]
 
     def placeholder(self, type_id: str, label: str, value: str) -> str:
         self.replaced += 1
@@ -54,23 +53,24 @@ class Masker:
         if not text:
             return text
         text = preprocess(text)
-        for entry, pattern in self._entries:
-            text = pattern.sub(lambda m, e=entry: self.placeholder(e.type_id, e.label, m[0]), text)
+        for entry in self.config.dictionary:
+            text = entry.replaced(text, lambda v, e=entry: self.placeholder(e.type_id, e.label, v))
         long_number = _long_number.search(text)
-        for rule, patterns, hint in self._rules:
+        for rule, forms, hint in self._rules:
             if long_number if rule.hint is LONG_NUMBER else hint.search(text):
-                for pattern in patterns:
-                    text = pattern.sub(lambda m, r=rule: self._kept_space(m, r), text)
+                for form in forms:
+                    text = form(text, lambda v, r=rule: self._kept_space(v, r))
         if self.config.tagger is not None and L.tagged(text):
             text = self._entities(text)
         return text
 
-    def _kept_space(self, m: re.Match, rule) -> str:
-        value = m[2].strip()
+    def _kept_space(self, found: str, rule) -> str:
+        """The placeholder of a value, with the white space around it."""
+        value = found.strip()
         if not value:
-            return m[0]
-        head, _, tail = m[2].partition(value)
-        return m[1] + head + self.placeholder(rule.id, rule.label, value) + tail + m[3]
+            return found
+        head, _, tail = found.partition(value)
+        return head + self.placeholder(rule.id, rule.label, value) + tail
 
     def _entities(self, text: str) -> str:
         """From the last to the first, so that spans stay valid; the last entity of a text gets the lowest number."""

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from kryptonym.functions.columns import inner
 from kryptonym.functions.layers import NatashaTagger, PymorphyMorphology
 
 from .mask import masked_column, restored
@@ -45,6 +46,12 @@ def authorised(header: str | None, token: bytes) -> bool:
     return scheme.lower() == "bearer" and hmac.compare_digest(value.strip().encode("utf-8"), token)
 
 
+def authorised_column(header: Column, token: str) -> Column:
+    """The same for a column of headers; null is none."""
+    scheme, value = F.lower(F.split_part(header, F.lit(" "), F.lit(1))), F.trim(F.regexp_replace(header, r"^\S*\s?", ""))
+    return F.coalesce((scheme == "bearer") & (F.sha2(value.cast("binary"), 256) == hashlib.sha256(token.encode()).hexdigest()), F.lit(False))
+
+
 def field_errors(body: Column, fields: dict[str, str], required: tuple[str, ...] = ("text",), keys_checked: bool = False) -> Column:
     """`field: kind of error` of each field that is missing, of another type or unknown; the first MOST_ERRORS.
 
@@ -66,12 +73,13 @@ def validated(requests: DataFrame, body_col: str = "body", fields: dict[str, str
     """Adds status (200, 413, 400, 422) and errors (array). Too large bodies are not parsed."""
     size = F.octet_length(F.coalesce(F.col(body_col), F.lit("")))
     parsed = F.when(size <= limit, F.try_parse_json(body_col))
-    out = requests.withColumn("_body", parsed)
-    is_object = F.startswith(F.schema_of_variant("_body"), F.lit("OBJECT<"))
-    errors = F.when(is_object, field_errors(F.col("_body"), fields or MASK_FIELDS)).otherwise(F.array().cast("array<string>"))
+    body = inner(requests, "_body")[0]
+    out = requests.withColumn(body, parsed)
+    is_object = F.startswith(F.schema_of_variant(body), F.lit("OBJECT<"))
+    errors = F.when(is_object, field_errors(F.col(body), fields or MASK_FIELDS)).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("errors", errors)
-    status = F.when(size > limit, 413).when(F.col("_body").isNull(), 400).when(~is_object | (F.size("errors") > 0), 422).otherwise(200)
-    return out.withColumn("status", status).drop("_body")
+    status = F.when(size > limit, 413).when(F.col(body).isNull(), 400).when(~is_object | (F.size("errors") > 0), 422).otherwise(200)
+    return out.withColumn("status", status).drop(body)
 
 
 def anonymize(requests: DataFrame, config: Config, body_col: str = "body", limit: int = MAX_BODY) -> DataFrame:
@@ -81,26 +89,28 @@ def anonymize(requests: DataFrame, config: Config, body_col: str = "body", limit
     request numbers its values by itself. use_ner stands for the tagger and the morphology together.
     """
     checked = validated(requests, body_col, MASK_FIELDS, limit)
-    got = F.from_json(F.when(F.col("status") == 200, F.col(body_col)), "text string, use_ner boolean, use_dict boolean")
-    checked = checked.withColumn("_r", got).withColumn("_ner", F.coalesce("_r.use_ner", F.lit(True))).withColumn("_dict", F.coalesce("_r.use_dict", F.lit(True)))
+    got, ner, words, made = inner(checked, "_r", "_ner", "_dict", "_m")
+    parsed = F.from_json(F.when(F.col("status") == 200, F.col(body_col)), "text string, use_ner boolean, use_dict boolean")
+    checked = checked.withColumn(got, parsed).withColumn(ner, F.coalesce(F.col(got)["use_ner"], F.lit(True))).withColumn(words, F.coalesce(F.col(got)["use_dict"], F.lit(True)))
     if not config.ready:
-        checked = checked.withColumn("status", F.when((F.col("status") == 200) & F.col("_ner"), 503).otherwise(F.col("status")))
+        checked = checked.withColumn("status", F.when((F.col("status") == 200) & F.col(ner), 503).otherwise(F.col("status")))
     parts = []
-    for ner in (True, False):
-        for dictionary in (True, False):
-            own = Config(config.enabled, config.dictionary if dictionary else (), config.tagger if ner else None, config.morphology if ner else None)
-            rows = checked.where((F.col("status") == 200) & (F.col("_ner") == ner) & (F.col("_dict") == dictionary))
-            parts.append(rows.withColumn("_m", masked_column(F.col("_r.text"), own)))
+    for use_ner in (True, False):
+        for use_dict in (True, False):
+            own = Config(config.enabled, config.dictionary if use_dict else (), config.tagger if use_ner else None, config.morphology if use_ner else None)
+            rows = checked.where((F.col("status") == 200) & (F.col(ner) == use_ner) & (F.col(words) == use_dict))
+            parts.append(rows.withColumn(made, masked_column(F.col(got)["text"], own)))
     empty = F.lit(None).cast("struct<text: string, keys: array<struct<ord: int, placeholder: string, type_id: string, type: string, original: string>>>")
-    parts.append(checked.where("status <> 200").withColumn("_m", empty))
+    parts.append(checked.where("status <> 200").withColumn(made, empty))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    keys = F.map_from_entries(F.transform("_m.keys", lambda k: F.struct(k["placeholder"], F.struct(k["original"].alias("original"), k["type"].alias("type")))))
-    ids = F.array_distinct(F.transform("_m.keys", lambda k: k["type_id"]))
-    counts = F.map_from_entries(F.transform(ids, lambda t: F.struct(t, F.size(F.filter(F.col("_m.keys"), lambda k: k["type_id"] == t)))))
+    found = F.col(made)["keys"]
+    keys = F.map_from_entries(F.transform(found, lambda k: F.struct(k["placeholder"], F.struct(k["original"].alias("original"), k["type"].alias("type")))))
+    ids = F.array_distinct(F.transform(found, lambda k: k["type_id"]))
+    counts = F.map_from_entries(F.transform(ids, lambda t: F.struct(t, F.size(F.filter(found, lambda k: k["type_id"] == t)))))
     rest = [c for c in requests.columns if c != body_col]
-    return out.select(*rest, "status", "errors", F.col("_m.text").alias("text"), keys.alias("keys"), F.size("_m.keys").alias("total"), counts.alias("by_type"))
+    return out.select(*rest, "status", "errors", F.col(made)["text"].alias("text"), keys.alias("keys"), F.size(found).alias("total"), counts.alias("by_type"))
 
 
 def restore_requests(requests: DataFrame, body_col: str = "body", limit: int = MAX_BODY) -> DataFrame:
@@ -143,3 +153,8 @@ def observed(answers: DataFrame, name: str = "anonymize") -> tuple[DataFrame, Ob
     """The answers with counters only: requests, characters, masks. Read them after an action."""
     seen = Observation(name)
     return answers.observe(seen, F.count("*").alias("requests"), F.sum(F.length("text")).alias("chars"), F.sum("total").alias("masks"), F.count_if(F.col("status") != 200).alias("refused")), seen
+
+
+def counted(answers: DataFrame) -> DataFrame:
+    """The same counters as a row."""
+    return answers.agg(F.count("*").alias("requests"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.when(F.col("status") == 200, F.col("total"))), F.lit(0)).cast("long").alias("masks"), F.count_if(F.col("status") != 200).alias("refused"))

@@ -15,6 +15,7 @@ from kryptonym.operators import requests as R
 from kryptonym.operators.masker import Config
 from kryptonym.sources.files import html_masked
 
+from . import golden
 from .oracles import kernel
 from .templates import TEMPLATES, expression
 
@@ -183,11 +184,23 @@ def group_numbering(spark, sf_dir):
     return M.mask(rows, "text", ("turn",), "group", ("conv_id",)).select("conv_id", "turn", "text_masked")
 
 
-@query()
+_EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+_TAG = r"<!--(?s:.)*?-->|</?[A-Za-z!][^>]*>"
+
+
+@query(
+    f"""
+WITH nodes AS (SELECT page_id, html, regexp_replace(html, '{_TAG}', chr(1), 'g') AS inside FROM pages)
+SELECT page_id, len(list_distinct(regexp_extract_all(inside, '{_EMAIL}'))) AS n_values, sha256(regexp_replace(inside, '{_EMAIL}', '@', 'g')) AS text_sha256,
+    len(regexp_extract_all(html, '{_TAG}')) AS n_tags
+FROM nodes"""
+)
 def html_text_mask(spark, sf_dir):
-    """Pages with only their text nodes masked."""
-    made = html_masked(table(spark, sf_dir, "pages"), "html")
-    return made.select("page_id", F.size("keys").cast("long").alias("n_values"), F.length("text_masked").cast("long").alias("masked_chars"))
+    """Pages whose text nodes lose their e-mails; all markup stays, e-mails in it too."""
+    made = html_masked(table(spark, sf_dir, "pages"), "html", Config(enabled=frozenset({"email"})))
+    inside = F.regexp_replace(F.regexp_replace("text_masked", _TAG, "\x01"), r"\[EMAIL_\d+\]", "@")
+    tags = F.size(F.regexp_extract_all("text_masked", F.lit(_TAG), F.lit(0))).cast("long")
+    return made.select("page_id", F.size("keys").cast("long").alias("n_values"), F.sha2(inside.cast("binary"), 256).alias("text_sha256"), tags.alias("n_tags"))
 
 
 @query(
@@ -196,9 +209,9 @@ WITH m AS (SELECT page_id, regexp_extract_all(html, '\\b[0-9]{10}\\b') AS l FROM
 SELECT page_id, len(list_distinct(l)) AS n_ids, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), '|') AS ids FROM m"""
 )
 def digit_ids_pages(spark, sf_dir):
-    """Bare ten-digit numbers of raw pages, each once, in their order."""
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit(r"\b[0-9]{10}\b"), F.lit(0)))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_ids"), F.array_join(found, "|").alias("ids"))
+    """Bare ten-digit numbers of raw pages as tax numbers, each once, in their order."""
+    made = M.mask(table(spark, sf_dir, "pages"), "html", ("page_id",), config=Config(enabled=frozenset({"inn_ul"})))
+    return made.select("page_id", F.size("keys").cast("long").alias("n_ids"), F.array_join(F.transform("keys", lambda k: k["original"]), "|").alias("ids"))
 
 
 @query(
@@ -256,18 +269,25 @@ def dictionary_parse(spark, sf_dir):
     k = F.col("p_partkey")
     label = F.when(k % 3 == 0, "").when(k % 3 == 1, " | фио").otherwise("| Марка ")
     lines = table(spark, sf_dir, "part").select(F.concat(F.lit("  "), F.col("p_name"), F.lit(" "), k.cast("string"), label).alias("line"))
-    return parsed(lines.union(lines.limit(1).select(F.lit("# нет"))), "line")
+    return parsed(lines.union(spark.createDataFrame([("# нет",), ("  ",), ("аб",)], "line string")), "line")
 
 
-@query(
-    """
-SELECT * FROM (VALUES """
-    + ", ".join(f"({i}, {j}, '{a}', '{b}', {str(c).lower()}, {str(d).lower()})" for i, j, a, b, _, c, d in registry_rows())
-    + """) AS t(rule_ord, pattern_ord, id, label, any_case, enabled)"""
-)
+#: The order in which the rules run, with the number of their forms; those off by default, and those that know no case.
+_RULES = [
+    ("company", "КОМПАНИЯ", 5), ("project", "ПРОЕКТ", 1), ("egrn", "ЕГРН", 1), ("kadastr", "КАДАСТР", 1), ("fio", "ФИО", 3), ("passport_issued", "ВЫДАН", 1), ("passport", "ПАСПОРТ", 1),
+    ("snils", "СНИЛС", 2), ("podrazd", "КОД_ПОДР", 1), ("date_birth", "ДР", 1), ("date_issue", "ДАТА_ВЫДАЧИ", 1), ("place_birth", "МЕСТО_РОЖДЕНИЯ", 1), ("address", "АДРЕС", 4),
+    ("account", "СЧЁТ", 2), ("ogrn", "ОГРН", 3), ("inn_fl", "ИНН_ФЛ", 2), ("inn_ul", "ИНН_ЮЛ", 2), ("kpp", "КПП", 1), ("bik", "БИК", 2), ("swift", "SWIFT", 1),
+    ("phone", "ТЕЛЕФОН", 2), ("email", "EMAIL", 1), ("website", "САЙТ", 1), ("amount", "СУММА", 1), ("date", "ДАТА", 2),
+]
+_OFF, _ANY_CASE = ("amount", "date"), ("project", "swift", "email", "amount", "date")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', {n}::BIGINT, {str(a in _ANY_CASE).lower()}, {str(a not in _OFF).lower()})" for i, (a, b, n) in enumerate(_RULES)) + ") AS t(rule_ord, id, label, forms, any_case, enabled)")
 def rule_registry(spark, sf_dir):
+    """The engine's rules, against a list written down by itself."""
     rows = [(i, j, a, b, c, d) for i, j, a, b, _, c, d in registry_rows()]
-    return spark.createDataFrame(rows, "rule_ord int, pattern_ord int, id string, label string, any_case boolean, enabled boolean")
+    forms = spark.createDataFrame(rows, "rule_ord int, form_ord int, id string, label string, any_case boolean, enabled boolean")
+    return forms.groupBy("rule_ord", "id", "label", "any_case", "enabled").agg(F.count("*").alias("forms"))
 
 
 def _scored(spark, sf_dir):
@@ -276,8 +296,9 @@ def _scored(spark, sf_dir):
     masked = M.mask(docs, "text", config=Config(enabled=frozenset({"email"})))
     must_go = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"), F.lit(0)))
     corpus = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "text", must_go.alias("must_mask"), F.array(F.split_part("text", F.lit(" "), F.lit(1))).alias("must_stay"))
-    run = masked.select(F.col("doc_id").alias("id"), F.col("text_masked").alias("output"))
-    runs = run.withColumn("run", F.lit(1)).union(run.select("id", F.concat("output", F.lit("\n")).alias("output")).withColumn("run", F.lit(2)))
+    # one masking, shown as two runs that differ in white space
+    both = F.explode(F.array(*(F.struct(F.lit(n).alias("run"), F.concat("text_masked", F.lit(end)).alias("output")) for n, end in ((1, ""), (2, "\n")))))
+    runs = masked.select(F.col("doc_id").alias("id"), both.alias("r")).select("id", "r.run", "r.output")
     return E.scored(corpus, runs)
 
 
@@ -395,7 +416,13 @@ def restore_requests(spark, sf_dir):
     return R.restore_requests(rows).select("conv_id", "turn", "status", "text")
 
 
-@query("SELECT conv_id, turn, CASE WHEN octet_length(encode(text)) > 200 THEN 413 ELSE 200 END AS status FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN 12 + (conv_id * 7 + turn) % 400 > 200 THEN 413 ELSE 200 END AS status FROM conversations")
 def reject_oversize(spark, sf_dir):
-    size = F.octet_length("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(size > 200, 413).otherwise(200).alias("status"))
+    """Bodies over the limit are refused unread."""
+    body = F.concat(F.lit('{"text": "'), F.repeat(F.lit("x"), ((F.col("conv_id") * 7 + F.col("turn")) % 400).cast("int")), F.lit('"}'))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
+    return R.validated(rows, limit=200).select("conv_id", "turn", "status")
+
+
+QUERIES |= golden.QUERIES
+ORACLES |= golden.ORACLES

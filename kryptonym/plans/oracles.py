@@ -21,7 +21,7 @@ def kernel(source: str, key: str, rule_ids: list[str], name: str = "t") -> str:
     n = 0
     for rule_id in rule_ids:
         rule = BY_ID[rule_id]
-        for parts in rule.patterns:
+        for parts in rule.forms:
             p = quoted(re2("".join(f"({g})" for g in parts), rule.any_case))
             others = "".join(f", known_{r}" for r in rule_ids if r != rule_id)
             steps.append(f"{name}{n}a AS (SELECT {key}, known_{rule_id}{others}, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}, 1) AS pre, regexp_extract_all(t, {p}, 2) AS val, regexp_extract_all(t, {p}, 3) AS suf FROM {name}{n})")

@@ -59,6 +59,30 @@ TEMPLATES: dict[str, tuple[str, str, str, str, list[str]]] = {
     "mask_untouched": ("part", "p_partkey", "План-факт за 2024 год, этап {k}: созвон и смета", "План-факт за 2024 год, этап {k}: созвон и смета", []),
     "mask_joined_digits": ("customer", "c_custkey", "ИНН 5 7 0 0 1 2 3 4 5 6 лот {k}", "ИНН [ИНН_ЮЛ_1] лот {k}", ["5700123456"]),
     "mask_nested_name": ("customer", "c_custkey", "адрес регистрации: дом Иванова А.Б. номер {k}", "адрес регистрации: [АДРЕС_1]", ["Иванова А.Б.", "дом [ФИО_1] номер {k}"]),
+    "mask_bare_account": ("customer", "c_custkey", "перевод {a20} ушёл", "перевод [СЧЁТ_1] ушёл", ["{a20}"]),
+    "mask_bare_state_number": ("supplier", "s_suppkey", "{d13} и {d15} в реестре", "[ОГРН_2] и [ОГРН_1] в реестре", ["{d15}", "{d13}"]),
+    "mask_bare_tax_person": ("customer", "c_custkey", "номер {d12} верен", "номер [ИНН_ФЛ_1] верен", ["{d12}"]),
+    "mask_bare_tax_company": ("customer", "c_custkey", "номер {d10} верен", "номер [ИНН_ЮЛ_1] верен", ["{d10}"]),
+    "mask_bare_bank_code": ("customer", "c_custkey", "код 04{d7} банка", "код [БИК_1] банка", ["04{d7}"]),
+    "mask_bare_phone": ("customer", "c_custkey", "звоните 7495{d7} утром", "звоните [ТЕЛЕФОН_1] утром", ["7495{d7}"]),
+    "mask_dashed_insurance_number": ("customer", "c_custkey", "СНИЛС № 112-233-445 {dd} и лот {k}", "СНИЛС № [СНИЛС_1] и лот {k}", ["112-233-445 {dd}"]),
+    "mask_two_addresses": (
+        "customer",
+        "c_custkey",
+        "адрес регистрации: г. Тула, ул. Б. Полянка, д. {house}. Фактический адрес: г. Орёл, ул. Лесная, д. {house}. Контакт есть",
+        "адрес регистрации: [АДРЕС_1]. Фактический адрес: [АДРЕС_2]. Контакт есть",
+        ["г. Тула, ул. Б. Полянка, д. {house}", "г. Орёл, ул. Лесная, д. {house}"],
+    ),
+    "mask_far_label": ("customer", "c_custkey", "БИК банка получателя по договору поставки оборудования и материалов от прошлого года для расчётов сторон {d9} верен", "БИК банка получателя по договору поставки оборудования и материалов от прошлого года для расчётов сторон [БИК_1] верен", ["{d9}"]),
+    "mask_far_tax_label": ("customer", "c_custkey", "ИНН (указан в реестре) лица которое подписало договор поставки оборудования и материалов за прошлый год № {d12} верен", "ИНН (указан в реестре) лица которое подписало договор поставки оборудования и материалов за прошлый год № [ИНН_ФЛ_1] верен", ["{d12}"]),
+    "mask_precedence": (
+        "customer",
+        "c_custkey",
+        "{a20} {d15} {d13} {d12} {d10} 77:18:{d7}:{d5}-77/060/2025-1 77:18:{d7}:{d5}",
+        "[СЧЁТ_1] [ОГРН_1] [ОГРН_2] [ИНН_ФЛ_1] [ИНН_ЮЛ_1] [ЕГРН_1] [КАДАСТР_1]",
+        ["77:18:{d7}:{d5}-77/060/2025-1", "77:18:{d7}:{d5}", "{a20}", "{d15}", "{d13}", "{d12}", "{d10}"],
+    ),
+    "mask_labelled_number_of_other_length": ("customer", "c_custkey", "КПП {d9} и {d9}, лот {k}", "КПП [КПП_1] и {d9}, лот {k}", ["{d9}"]),
 }
 
 

@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kryptonym.functions.columns import inner
 from kryptonym.functions.dictionary import Entry, parse
 from kryptonym.functions.rules import BY_ID
 from kryptonym.operators.masker import Config, Masker, restore
@@ -81,12 +82,16 @@ def html_masked(df: DataFrame, html_col: str, config: Config | None = None) -> D
             out, keys = [], []
             for page in pages:
                 masker = Masker(settings)
-                out.append(None if page is None else formats.change_html_text(page, masker.mask))
+                try:
+                    out.append(None if page is None else formats.change_html_text(page, masker.mask))
+                except Exception as e:  # a parser's error may hold the page's text
+                    raise RuntimeError(f"masking failed: {type(e).__name__}") from None
                 keys.append(masker.keys)
             yield pd.DataFrame({"text": pd.Series(out, dtype=object), "keys": pd.Series(keys, dtype=object)})
 
     made = F.pandas_udf(run, "text string, keys array<struct<ord: int, placeholder: string, type_id: string, type: string, original: string>>")
-    return df.withColumn("_m", made(F.col(html_col))).select(*df.columns, F.col("_m.text").alias("text_masked"), F.col("_m.keys").alias("keys"))
+    name = inner(df, "_m")[0]
+    return df.withColumn(name, made(F.col(html_col))).select(*df.columns, F.col(name)["text"].alias("text_masked"), F.col(name)["keys"].alias("keys"))
 
 
 def save_keys(keys: list[dict], folder: str | Path, now: datetime.datetime | None = None) -> Path | None:
@@ -105,9 +110,19 @@ def load_keys(path: str | Path) -> list[tuple[str, str]]:
 
 def keys_table(spark: SparkSession, path: str) -> DataFrame:
     """A key file as a table in its order: ord, placeholder, original, type."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", "map<string, struct<original: string, type: string>>")
-    return text.select(F.posexplode(F.map_entries(parsed)).alias("at", "e")).select((F.col("at") + 1).alias("ord"), F.col("e.key").alias("placeholder"), F.col("e.value.original").alias("original"), F.col("e.value.type").alias("type"))
+    return keys_parsed(spark.read.text(path, wholetext=True), "value")
+
+
+def keys_parsed(files: DataFrame, column: str) -> DataFrame:
+    """The keys of a column of key files' texts, with the other columns: ord, placeholder, original, type."""
+    parsed = F.from_json(column, "map<string, struct<original: string, type: string>>")
+    rest = [c for c in files.columns if c != column]
+    return files.select(*rest, F.posexplode(F.map_entries(parsed)).alias("at", "e")).select(*rest, (F.col("at") + 1).alias("ord"), F.col("e.key").alias("placeholder"), F.col("e.value.original").alias("original"), F.col("e.value.type").alias("type"))
+
+
+def newest_of(names: Column) -> Column:
+    """The newest key file's name among a group's names, null without any: their names tell the time."""
+    return F.max(F.when(names.startswith(KEY_PREFIX) & names.endswith(".json"), names))
 
 
 def newest_keys(folder: str | Path) -> Path | None:

@@ -19,16 +19,23 @@ def change_text(raw: bytes, change: Change) -> bytes:
 
 
 class _TextNodes(HTMLParser):
-    """Re-emits a page with its text nodes changed; all other markup stands as it was."""
+    """Re-emits a page with its text nodes changed; all other markup stands as it was.
 
-    def __init__(self, change: Change):
+    even: start tags are written in one way, names small and values in double quotes, an empty element as a pair of tags.
+    """
+
+    def __init__(self, change: Change, even: bool = False):
         super().__init__(convert_charrefs=False)
-        self.change, self.out = change, []
+        self.change, self.even, self.out = change, even, []
 
     def handle_starttag(self, tag, attrs):
-        self.out.append(self.get_starttag_text())
+        said = [tag, *(name if value is None else f'{name}="{value}"' for name, value in attrs)]
+        self.out.append(f"<{' '.join(said)}>" if self.even else self.get_starttag_text())
 
-    handle_startendtag = handle_starttag
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self.even:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         self.out.append(f"</{tag}>")
@@ -55,8 +62,8 @@ class _TextNodes(HTMLParser):
         self.out.append(f"&#{name};")
 
 
-def change_html_text(page: str, change: Change) -> str:
-    parser = _TextNodes(change)
+def change_html_text(page: str, change: Change, even: bool = False) -> str:
+    parser = _TextNodes(change, even)
     parser.feed(page)
     parser.close()
     return "".join(parser.out)

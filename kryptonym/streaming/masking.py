@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from kryptonym.functions.columns import inner
 from kryptonym.operators.mask import masked_column
 from kryptonym.operators.masker import Config
 
 
 def mask_stream(stream: DataFrame, text_col: str = "text", config: Config | None = None) -> DataFrame:
     """The stream with text_masked and keys; stateless, so any output mode but complete works."""
-    made = stream.withColumn("_m", masked_column(F.col(text_col), config))
-    return made.select(*stream.columns, F.col("_m.text").alias("text_masked"), F.col("_m.keys").alias("keys"))
+    name = inner(stream, "_m")[0]
+    made = stream.withColumn(name, masked_column(F.col(text_col), config))
+    return made.select(*stream.columns, F.col(name)["text"].alias("text_masked"), F.col(name)["keys"].alias("keys"))
 
 
 def start(stream: DataFrame, out_path: str, checkpoint: str, text_col: str = "text", config: Config | None = None) -> StreamingQuery:
@@ -24,5 +26,6 @@ def start(stream: DataFrame, out_path: str, checkpoint: str, text_col: str = "te
 
 def counters(stream: DataFrame, time_col: str, window: str = "1 minute", late: str = "5 minutes", text_col: str = "text", config: Config | None = None) -> DataFrame:
     """Requests, characters and masks in each time window; late rows count until the watermark has passed."""
-    made = stream.withWatermark(time_col, late).withColumn("_m", masked_column(F.col(text_col), config))
-    return made.groupBy(F.window(time_col, window).alias("at")).agg(F.count("*").alias("requests"), F.sum(F.length(text_col)).alias("chars"), F.sum(F.size("_m.keys")).alias("masks"))
+    name = inner(stream, "_m")[0]
+    made = stream.withWatermark(time_col, late).withColumn(name, masked_column(F.col(text_col), config))
+    return made.groupBy(F.window(time_col, window).alias("at")).agg(F.count("*").alias("requests"), F.sum(F.length(text_col)).alias("chars"), F.sum(F.size(F.col(name)["keys"])).alias("masks"))

@@ -83,7 +83,7 @@ def test_rule_leaves(rule, text):
 
 
 def test_all_rules_and_defaults():
-    assert len(RULES) == 25 and sum(len(r.patterns) for r in RULES) == 43 and len(DEFAULT) == 23
+    assert len(RULES) == 25 and sum(len(r.forms) for r in RULES) == 43 and len(DEFAULT) == 23
     assert [r.id for r in chosen(set())] == [r.id for r in RULES if r.default]
     with pytest.raises(ValueError):
         chosen({"nothing"})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kryptonym.functions.layers import Lexicon, WordTagger, known_personal_column, personal_column, stop_word_column, verb_column
 from kryptonym.functions.rules import DEFAULT
-from kryptonym.functions.text import collapse_digits, preprocess
+from kryptonym.functions.text import COMPOSED, collapse_digits, not_composed, preprocess
 from kryptonym.operators import evaluate as E
 from kryptonym.operators import mask as M
 from kryptonym.operators import requests as R
@@ -37,13 +37,36 @@ def test_row_scope_is_a_masker_for_each_row(texts):
         assert got[i] == (m.mask(t), [k["original"] for k in m.keys])
 
 
-@pytest.mark.parametrize("rules", [{"email", "phone"}, {"fio", "address"}, {"company", "website"}, {"account", "ogrn", "inn_fl", "inn_ul"}, {"passport_issued", "place_birth", "date_birth"}, {"amount", "date", "project", "swift"}, {"egrn", "kadastr", "snils", "passport", "podrazd", "date_issue", "kpp", "bik"}])
-def test_native_kernel_agrees(texts, rules):
-    composed = texts.where("text is null or text not like '%3 4 5%'")
-    got = by_id(M.native_masked(composed, "text", rules), "text_masked", "keys.original", "keys.placeholder")
-    for i in got:
-        m = Masker(Config(enabled=frozenset(rules)))
-        assert got[i] == (m.mask(TEXTS[i]), [k["original"] for k in m.keys], [k["placeholder"] for k in m.keys])
+@pytest.mark.parametrize("rules", [{"email", "phone"}, {"account", "ogrn"}, {"passport_issued", "place_birth", "date_birth"}, {"amount", "date", "project", "swift"}, {"egrn", "kadastr", "snils", "passport", "podrazd", "date_issue", "kpp"}])
+@pytest.mark.parametrize("composed", (False, True))
+def test_native_kernel_agrees(spark, rules, composed):
+    """By built-in functions as by the masker, spaced digits, loose accents and inner names too."""
+    loose = ["8 9 1 6 1 2 3 4 5 6 7 и й", "и\u0306 a@x.ru", "e\u0301 8 9 1 6 1 2 3 4 5 6 7", "각 +7 (499) 555-12-34"]
+    texts = TEXTS + (loose[:1] if composed else loose)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "'a' as _t", "'b' as _k_email", "'c' as _M").repartition(3)
+    rows = {r.doc_id: r for r in M.native_masked(df, "text", rules, composed).collect()}
+    for i, t in enumerate(texts):
+        m, r = Masker(Config(enabled=frozenset(rules))), rows[i]
+        assert (r.text_masked, [k.original for k in r["keys"]], [k.placeholder for k in r["keys"]]) == (m.mask(t), [k["original"] for k in m.keys], [k["placeholder"] for k in m.keys]), t
+        assert (r._t, r._k_email, r._M) == ("a", "b", "c")
+
+
+def test_native_kernel_refuses_finders(texts):
+    with pytest.raises(ValueError):
+        M.native_masked(texts, "text", {"address"})
+
+
+def test_not_composed_class():
+    """Text without a character of the class is composed."""
+    import re
+    import unicodedata
+
+    python = lambda p: re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), p))
+    found, fine = python(not_composed()), python(f"[{COMPOSED}]")
+    assert not any(found.match(chr(c)) and fine.match(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for text in ["й", "e\u0301", "가", "각", "Å", "a\u0323\u0307", "ӑ", "텍스트", "é"]:
+        assert found.search(text) or unicodedata.is_normalized("NFC", text)
+    assert not found.search("обычный текст é ü 텍") and found.search("и\u0306")
 
 
 def test_batch_scope_is_one_masker(texts):
@@ -57,7 +80,7 @@ def test_batch_scope_is_one_masker(texts):
 
 
 def test_group_scope(texts):
-    grouped = texts.withColumn("g", F.col("doc_id") % 4)
+    grouped = texts.withColumn("g", F.col("doc_id") % 4).selectExpr("*", "'a' as _who", "'b' as _named", "'c' as _m", "'d' as at", "'e' as type")
     got = by_id(M.mask(grouped, scope="group", group_cols=("g",)), "text_masked")
     maskers = [Masker() for _ in range(4)]
     for i, t in enumerate(TEXTS):
