@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ BLOCK_BYTES = 1 << 19
 #: Rows and bytes of one Arrow batch sent to a Python worker; a longer row is a batch of its own.
 ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Links in one file of a round of connected components.
 ROWS_OF_LINKS = 100_000
 
@@ -66,6 +69,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about `most` bytes of the column; nulls there become empty."""
     for batch in batches:
@@ -81,6 +91,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def as_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
