@@ -69,7 +69,12 @@ def test_not_composed_class():
     assert not found.search("обычный текст é ü 텍") and found.search("и\u0306")
 
 
-def test_batch_scope_is_one_masker(texts):
+@pytest.mark.parametrize("hot", (1, 4096))
+def test_batch_scope_is_one_masker(texts, monkeypatch, hot):
+    """Whether no key is joined by itself or all are."""
+    from kryptonym.operators import numbering
+
+    monkeypatch.setattr(numbering, "HOT_KEYS", hot)
     made = M.mask(texts, scope="batch")
     got = by_id(made, "text_masked")
     m = Masker()
@@ -252,6 +257,18 @@ def test_errors_carry_no_text(spark):
     assert "маркер" not in str(e.value)
 
 
+def test_groups_may_be_null_and_rows_equal(spark):
+    rows = [(1, None, "a@x.ru"), (2, None, "b@x.ru a@x.ru"), (3, "g", "b@x.ru"), (4, "g", "c@x.ru b@x.ru"), (5, "g", "без")]
+    df = spark.createDataFrame(rows, "doc_id long, g string, text string")
+    got = by_id(M.mask(df, scope="group", group_cols=("g",)), "text_masked")
+    assert got == {1: ("[EMAIL_1]",), 2: ("[EMAIL_2] [EMAIL_1]",), 3: ("[EMAIL_1]",), 4: ("[EMAIL_2] [EMAIL_1]",), 5: ("без",)}
+
+
+def test_warm_seconds(spark):
+    rows = lambda *x: spark.createDataFrame(list(enumerate(x)), "id long, seconds double")
+    assert [E.warm_seconds(rows(*x)).first().seconds for x in ((9.0, 1.0, 2.0), (None, 1.0, 2.0), (9.0,), (9.0, None, 0.0))] == [1.5, 1.5, 0.0, 0.0]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     for scope in ("row", "batch"):
