@@ -126,7 +126,7 @@ def without(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
 
 
 #: Ids of which a set is sent to every worker.
-FEW_IDS = 1 << 20
+FEW_IDS = 1 << 18
 
 #: The white space that separates words: [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)

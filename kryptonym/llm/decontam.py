@@ -370,7 +370,7 @@ Items = list[tuple[object, str]]
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items]:
-    """The distinct items block by block; the driver holds one block at a time."""
+    """The distinct items block by block. A benchmark is held by the driver, and block by block by each worker."""
     block, held = [], 0
     for item, text in benchmark.select(item_col, F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).distinct().orderBy(item_col, text_col).toLocalIterator():
         if block and (len(block) == BLOCK_ITEMS or held + len(text) > BLOCK_ITEM_BYTES):
