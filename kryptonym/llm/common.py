@@ -23,7 +23,7 @@ ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
-#: Links in one file of a round of connected components.
+#: Rows of a small table, such as the links of a round of connected components, in one file.
 ROWS_OF_LINKS = 100_000
 
 
@@ -69,6 +69,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, rows: int, each: int = ROWS_OF_LINKS) -> DataFrame:
+    """The table, known to have so many rows at most, in as few partitions as hold `each` of them: small tables make few files."""
+    return df.coalesce(min(width(df.sparkSession), 1 + rows // each))
+
+
 def release() -> None:
     """Give memory that a worker no longer uses back to the system: workers live on between tasks and stages."""
     pa.default_memory_pool().release_unused()
@@ -115,7 +120,7 @@ def joined_hot(rows: DataFrame, table_: DataFrame, on: list[str]) -> DataFrame:
     Keys with a HOT_KEYS-th of the rows are at most HOT_KEYS, so their part of the table is sent to every worker.
     """
     total = rows.count()
-    hot = checkpointed(rows.groupBy(*on).count().where(F.col("count") * HOT_KEYS >= total).select(*on).join(table_, on))
+    hot = checkpointed(gathered(rows.groupBy(*on).count().where(F.col("count") * HOT_KEYS >= total).select(*on).join(table_, on), HOT_KEYS))
     some = F.broadcast(hot)
     return rows.join(some, on).union(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table_, on))
 
@@ -208,14 +213,16 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b), longs: root is the smallest node reachable.
+def connected(edges: DataFrame, links: int | None = None) -> DataFrame:
+    """(node, root) for every node of the links (a, b), longs: root is the smallest node reachable. links: how many there are at most, if known.
 
     Alternates the large-star and the small-star step; each round is checkpointed, and nothing but two
     numbers a round reaches the driver. A hub's links are reduced by a map-side minimum, which is checkpointed
     by itself: the joins with it then have a plain exchange on either side, whose large partitions Spark splits.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    if links is not None:
+        e = gathered(e, links)
     e, last = checkpointed(e), None
     parts = min(width(e.sparkSession), 1 + e.count() // ROWS_OF_LINKS)  # a round makes no more links than it gets
     while True:

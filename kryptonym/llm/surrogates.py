@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, blocks, checkpointed, joined_hot, prepare
+from .common import as_bytes, blocks, checkpointed, gathered, joined_hot, prepare
 
 KINDS = ("email", "phone", "card", "ip", "iban", "ssn", "given_f", "given_m", "given_n", "family")
 
@@ -222,6 +222,9 @@ def replaced(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tup
     return "".join([*out, text[at:]]), kinds
 
 
+#: Distinct entities in one partition of a round.
+ROUND_ROWS = 10_000
+
 #: What every entity but those of @ or four ASCII digits holds: a title, cue or given name, other digits, an IBAN's first six.
 HINT = "|".join([*sorted({*TITLES, *CUES, *_KNOWN}), r"[^\P{Nd}0-9]", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"])
 
@@ -267,20 +270,23 @@ def attempts_of(entities: DataFrame, key: bytes) -> DataFrame:
         return pd.Series([surrogate(key, k, v, a) for k, v, a in zip(kinds, values, tries)], dtype=object)
 
     make = F.pandas_udf(made, "string")
+    rows = entities.count()
+    few = lambda df: checkpointed(gathered(df, rows, ROUND_ROWS))
     class_of = F.when(F.col("kind").startswith("given"), F.lit("given")).otherwise(F.col("kind")).alias("class")
-    wanted = lambda df: checkpointed(df.select("kind", "value", "attempt", class_of, make("kind", "value", "attempt").alias("made")))
+    wanted = lambda df: few(df.select("kind", "value", "attempt", class_of, make("kind", "value", "attempt").alias("made")))
     state = wanted(entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0)))
-    originals = checkpointed(state.select("class", F.col("value").alias("made")).distinct())
+    rows = state.count()
+    originals = few(state.select("class", F.col("value").alias("made")).distinct())
     while True:
         best = state.groupBy("class", "made").agg(F.min(F.struct("attempt", "value", "kind")).alias("best"), F.count("*").alias("n"))
         shown = originals.join(state.select("class", "made").distinct(), ["class", "made"]).withColumn("real", F.lit(True))
         trouble = best.join(shown, ["class", "made"], "left").where("n > 1 or real")
         judged = state.join(trouble, ["class", "made"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | (F.col("n").isNotNull() & (F.struct("attempt", "value", "kind") != F.col("best")))
-        judged = checkpointed(judged.withColumn("again", again).select("kind", "value", "attempt", "class", "made", "again"))
+        judged = few(judged.withColumn("again", again).select("kind", "value", "attempt", "class", "made", "again"))
         if judged.where("again").isEmpty():
             return judged.select("kind", "value", "attempt")
-        state = checkpointed(judged.where("not again").drop("again").union(wanted(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))))
+        state = few(judged.where("not again").drop("again").union(wanted(judged.where("again").select("kind", "value", (F.col("attempt") + 1).alias("attempt")))))
 
 
 def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,12 +311,13 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_kind = own.schema["id"].dataType.simpleString()
     found = checkpointed(entity_parts(own))
-    again = checkpointed(attempts_of(found, key).where("attempt > 0"))
+    tries = attempts_of(found, key).where("attempt > 0")
+    again = checkpointed(gathered(tries, tries.count()))
     if again.isEmpty():
         joined = own.withColumn("again", F.lit(None).cast("array<struct<kind: string, value: string, attempt: int>>"))
     else:
         listed = joined_hot(found, again, ["kind", "value"]).groupBy(F.col("id").alias("of")).agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("again"))
-        joined = own.join(checkpointed(listed), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "again")
+        joined = own.join(checkpointed(gathered(listed, found.count())), F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
