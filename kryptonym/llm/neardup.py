@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW_IDS, RollingHash, as_bytes, blocks, checkpointed, connected, mixed, prepare, width, word_spans
+from .common import FEW_IDS, RollingHash, as_bytes, blocks, checkpointed, connected, gathered, mixed, prepare, width, word_spans
 from .simhash import named, planes_of, within
 
 WORDS = 5
@@ -24,6 +24,8 @@ BANDS, ROWS = 20, 4
 RADIUS = 22
 #: Texts of a bucket that one task compares with each other; a larger bucket is cut into parts of about so many.
 PART = 512
+#: Sketches, and shingle sets, in one file.
+SKETCHES, SETS = 20_000, 5_000
 #: Near pairs of a unit looked at together.
 PAIRS = 1 << 15
 SEED = 42
@@ -254,22 +256,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = checkpointed(sketches(own, words))
     nodes = rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    nodes = checkpointed(nodes)
+    nodes = checkpointed(gathered(nodes, rows.count(), SKETCHES))
+    n = nodes.count()
     marks = nodes.where(F.exists("keys", lambda k: k != 0)).select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "band", "node")
     # of several bands whose buckets hold the same nodes the first is enough
     mark = F.xxhash64("node", F.lit(7))
     shared = marks.groupBy("key").agg(F.count("*").alias("size"), F.min("band").alias("of"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("y")).where("size > 1")
     shared = shared.groupBy("size", "x", "y").agg(F.min(F.struct("of", "key")).alias("one")).select(F.col("one.key").alias("key"), "size")
-    buckets = checkpointed(marks.join(shared, "key"))
-    needed = checkpointed(buckets.select("node").distinct())
+    buckets = checkpointed(gathered(marks.join(shared, "key"), n * BANDS))
+    needed = checkpointed(gathered(buckets.select("node").distinct(), n))
     some = F.broadcast(needed) if needed.count() <= FEW_IDS else needed
     sets = shingle_sets(own, words).join(some, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
-    sets = checkpointed(sets.join(nodes.select("node", "bits", "keys"), "node"))
+    sets = checkpointed(gathered(sets.join(nodes.select("node", "bits", "keys"), "node"), needed.count(), SETS))
     first = buckets.select("key", part_of("node", F.col("size")).alias("one"), F.lit(0).cast("long").alias("two"), F.lit(2).cast("long").alias("side"), "band", "node", F.col("node").alias("root"))
     links = checkpointed(links_in_units(first.join(sets, "node"), similarity, radius))
     if not buckets.where(F.col("size") > PART).isEmpty():
         roots = connected(links)
-        roots = checkpointed(roots.union(roots.select("root", F.col("root").alias("also")).distinct()).select(F.col("node").alias("of"), "root"))
+        roots = checkpointed(gathered(roots.union(roots.select("root", F.col("root").alias("also")).distinct()).select(F.col("node").alias("of"), "root"), n))
         links = links.union(checkpointed(links_in_units(across(buckets, roots).join(sets, "node"), similarity, radius)))
-    classes = checkpointed(named(nodes.select("node", "low"), links, "node"))
+    classes = checkpointed(gathered(named(nodes.select("node", "low"), links, "node", n), n))
     return rows.join(classes, "node").select(F.col("id").alias(id_col), "component_id")

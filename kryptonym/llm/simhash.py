@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import as_bytes, blocks, checkpointed, components, connected, width
+from .common import as_bytes, blocks, checkpointed, components, connected, gathered, width
 
 SEED = 42
 WORDS = 4
@@ -239,10 +239,11 @@ def links_of(values: DataFrame, radius: int) -> DataFrame:
     Buckets of over HOT values are not sent to one task: their values are dealt out again by the bits that they may
     still differ in, until few enough are left in each or no bits are (then a bucket holds few values by nature).
     """
-    blocks_ = blocks_for(values.count(), radius)
-    level, out = dealt_by(values, keys_of(list(range(64)), radius, blocks_)), None
+    n = values.count()
+    masks = keys_of(list(range(64)), radius, blocks_for(n, radius))
+    level, out, rows = dealt_by(values, masks), None, n * len(masks)
     while True:
-        hot = checkpointed(level.groupBy("mask", "key").count().where(F.col("count") > HOT).select("mask", "key"))
+        hot = checkpointed(gathered(level.groupBy("mask", "key").count().where(F.col("count") > HOT).select("mask", "key"), rows // HOT))
         masks = [r.mask & (1 << 64) - 1 for r in hot.select("mask").distinct().collect()]  # one for each set of blocks
         left = {m: [b for b in range(64) if not m >> b & 1] for m in masks}
         again = {m: keys_of(x, radius) for m, x in left.items() if split_again(x, radius)}
@@ -258,16 +259,17 @@ def links_of(values: DataFrame, radius: int) -> DataFrame:
         for x in more[1:]:
             level = level.union(x)
         level = checkpointed(level)
+        rows = level.count()
 
 
-def named(values: DataFrame, links: DataFrame, node: str) -> DataFrame:
-    """(node, component_id) of values (node, low): the smallest low of all nodes reachable over the links (a, b).
+def named(values: DataFrame, links: DataFrame, node: str, rows: int) -> DataFrame:
+    """(node, component_id) of values (node, low), so many rows: the smallest low of all nodes reachable over the links (a, b).
 
     Only linked nodes meet their class's minimum, each class in SALTS parts, so a class of any size spreads over tasks.
     """
     star = connected(links).select(F.col("node").alias("of"), "root")
     star = star.union(star.select("root", F.col("root").alias("also")).distinct())  # a root is a node of its class
-    held = checkpointed(values.join(star, F.col(node) == F.col("of")).select(node, "low", "root", F.pmod(F.xxhash64(node), F.lit(SALTS)).alias("salt")))
+    held = checkpointed(gathered(values.join(star, F.col(node) == F.col("of")).select(node, "low", "root", F.pmod(F.xxhash64(node), F.lit(SALTS)).alias("salt")), rows))
     least = held.groupBy("root").agg(F.min("low").alias("component_id")).select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     found = held.join(least, ["root", "salt"]).select(F.col(node).alias("of"), "component_id", F.lit(True).alias("known"))
     return values.join(found, F.col(node) == F.col("of"), "left").select(node, F.when(F.col("known"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
@@ -285,6 +287,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty table gives none. Other columns are ignored, whatever their names. Returns id, fingerprint (long), component_id.
     """
     rows = checkpointed(fingerprints(df, id_col, text_col, words, seed))
-    values = checkpointed(rows.groupBy("fingerprint").agg(F.min("id").alias("low")))
-    classes = checkpointed(named(values, links_of(values, radius), "fingerprint"))  # so that the join has plain exchanges, whose large partitions Spark splits
+    values = checkpointed(gathered(rows.groupBy("fingerprint").agg(F.min("id").alias("low")), rows.count()))
+    n = values.count()
+    classes = checkpointed(gathered(named(values, links_of(values, radius), "fingerprint", n), n))  # so that the join has plain exchanges, whose large partitions Spark splits
     return rows.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
