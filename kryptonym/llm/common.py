@@ -70,8 +70,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def gathered(df: DataFrame, rows: int, each: int = ROWS_OF_LINKS) -> DataFrame:
-    """The table, known to have so many rows at most, in as few partitions as hold `each` of them: small tables make few files."""
-    return df.coalesce(min(width(df.sparkSession), 1 + rows // each))
+    """The table, known to have so many rows at most, dealt into as few partitions as hold `each` of them: small tables make few
+    files. All tasks still make it; joining them in one task instead would keep the memory of all their sorts."""
+    return df.repartition(min(width(df.sparkSession), 1 + rows // each))
 
 
 def release() -> None:
@@ -227,12 +228,12 @@ def connected(edges: DataFrame, links: int | None = None) -> DataFrame:
     parts = min(width(e.sparkSession), 1 + e.count() // ROWS_OF_LINKS)  # a round makes no more links than it gets
     while True:
         both = e.union(e.select("b", "a"))
-        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(parts))
+        low = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(parts))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = checkpointed(large.coalesce(parts))
-        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts))
+        large = checkpointed(large.repartition(parts))
+        low = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")).repartition(parts))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = checkpointed(small.union(low.select("a", F.col("m").alias("b"))).distinct().coalesce(parts))
+        e = checkpointed(small.union(low.select("a", F.col("m").alias("b"))).distinct().repartition(parts))
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

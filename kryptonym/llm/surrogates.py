@@ -310,7 +310,7 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     spark = prepare(df.sparkSession)
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_kind = own.schema["id"].dataType.simpleString()
-    found = checkpointed(entity_parts(own))
+    found = checkpointed(gathered(entity_parts(own), df.count()))
     tries = attempts_of(found, key).where("attempt > 0")
     again = checkpointed(gathered(tries, tries.count()))
     if again.isEmpty():
