@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import as_bytes, blocks, checkpoint_dir, checkpointed, width
+from .common import as_bytes, blocks, checkpoint_dir, checkpointed, gathered, width
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -22,6 +22,8 @@ MIN_DOCS = 3
 SHARD_KEYS = 1 << 15
 #: A key that holds at least so large a part of all references is looked up before the shuffle: there are no more than this many.
 HOT_KEYS = 4096
+#: Keys in one file of the exact table.
+PART_ROWS = 200_000
 SLOTS = 4
 KICKS = 500
 
@@ -242,7 +244,8 @@ class LineStore:
             touched = new.select("key").distinct()
             again = alive(self.spark.read.parquet(*refs).join(touched, "key", "left_semi"))
             counts = self.counts().join(touched, "key", "left_anti").union(again)
-        path = self._write(counts, "counts", n)
+        rows = new.count() + (self.counts().count() if old["counts"] else 0)
+        path = self._write(gathered(counts, rows, PART_ROWS), "counts", n)
         counts = self.spark.read.parquet(path)
         keys, shards = self.heavy(counts).count(), old["shards"]
         if keys > 2 * shards * SHARD_KEYS:
