@@ -254,7 +254,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     prepare(df.sparkSession)
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpointed(sketches(own, words))
+    rows = checkpointed(gathered(sketches(own, words), df.count(), SKETCHES))
     nodes = rows.groupBy("node").agg(F.min("id").alias("low"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
     nodes = checkpointed(gathered(nodes, rows.count(), SKETCHES))
     n = nodes.count()
@@ -269,10 +269,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = shingle_sets(own, words).join(some, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
     sets = checkpointed(gathered(sets.join(nodes.select("node", "bits", "keys"), "node"), needed.count(), SETS))
     first = buckets.select("key", part_of("node", F.col("size")).alias("one"), F.lit(0).cast("long").alias("two"), F.lit(2).cast("long").alias("side"), "band", "node", F.col("node").alias("root"))
-    links = checkpointed(links_in_units(first.join(sets, "node"), similarity, radius))
+    most = buckets.count()  # a unit gives fewer links than it has rows
+    links = checkpointed(gathered(links_in_units(first.join(sets, "node"), similarity, radius).distinct(), most))
     if not buckets.where(F.col("size") > PART).isEmpty():
-        roots = connected(links)
+        roots = connected(links, most)
         roots = checkpointed(gathered(roots.union(roots.select("root", F.col("root").alias("also")).distinct()).select(F.col("node").alias("of"), "root"), n))
-        links = links.union(checkpointed(links_in_units(across(buckets, roots).join(sets, "node"), similarity, radius)))
-    classes = checkpointed(gathered(named(nodes.select("node", "low"), links, "node", n), n))
+        links = links.union(links_in_units(across(buckets, roots).join(sets, "node"), similarity, radius))
+    classes = checkpointed(gathered(named(nodes.select("node", "low"), links, "node", n, 2 * most), n))
     return rows.join(classes, "node").select(F.col("id").alias(id_col), "component_id")

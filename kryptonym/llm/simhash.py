@@ -262,12 +262,12 @@ def links_of(values: DataFrame, radius: int) -> DataFrame:
         rows = level.count()
 
 
-def named(values: DataFrame, links: DataFrame, node: str, rows: int) -> DataFrame:
-    """(node, component_id) of values (node, low), so many rows: the smallest low of all nodes reachable over the links (a, b).
+def named(values: DataFrame, links: DataFrame, node: str, rows: int, most: int) -> DataFrame:
+    """(node, component_id) of values (node, low), so many rows: the smallest low of all nodes reachable over the links (a, b), `most` at most.
 
     Only linked nodes meet their class's minimum, each class in SALTS parts, so a class of any size spreads over tasks.
     """
-    star = connected(links).select(F.col("node").alias("of"), "root")
+    star = connected(links, most).select(F.col("node").alias("of"), "root")
     star = star.union(star.select("root", F.col("root").alias("also")).distinct())  # a root is a node of its class
     held = checkpointed(gathered(values.join(star, F.col(node) == F.col("of")).select(node, "low", "root", F.pmod(F.xxhash64(node), F.lit(SALTS)).alias("salt")), rows))
     least = held.groupBy("root").agg(F.min("low").alias("component_id")).select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
@@ -286,8 +286,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no class, so rows that link to no row with an id have a null component_id; repeated rows keep their rows; an
     empty table gives none. Other columns are ignored, whatever their names. Returns id, fingerprint (long), component_id.
     """
-    rows = checkpointed(fingerprints(df, id_col, text_col, words, seed))
+    rows = checkpointed(gathered(fingerprints(df, id_col, text_col, words, seed), df.count()))
     values = checkpointed(gathered(rows.groupBy("fingerprint").agg(F.min("id").alias("low")), rows.count()))
     n = values.count()
-    classes = checkpointed(gathered(named(values, links_of(values, radius), "fingerprint", n), n))  # so that the join has plain exchanges, whose large partitions Spark splits
+    most = n * len(keys_of(list(range(64)), radius, blocks_for(n, radius)))  # a bucket gives fewer links than it has values
+    classes = checkpointed(gathered(named(values, links_of(values, radius), "fingerprint", n, most), n))  # so that the join has plain exchanges, whose large partitions Spark splits
     return rows.join(classes, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
