@@ -100,3 +100,11 @@ def test_model_over_http(spark):
     got = E.judged(rows, F.col("p"), E.HttpModel(f"http://127.0.0.1:{httpd.server_port}/", "m")).collect()
     assert {r.answer for r in got} == {"m: один 0 42", "m: два 0 42"}
     httpd.shutdown()
+
+
+def test_command_line_needs_a_token(monkeypatch):
+    from kryptonym.__main__ import main
+
+    monkeypatch.delenv("KRYPTONYM_TOKEN", raising=False)
+    with pytest.raises(RuntimeError):
+        main(["--serve", "0"])
