@@ -18,7 +18,7 @@ from .common import as_bytes, blocks, checkpoint_dir, checkpointed, gathered, wi
 STRIPPED = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Repeated keys of a shard, about; the number of shards follows the number of keys.
+#: Repeated keys of a shard, at most about; there are as many shards as tasks of a shuffle, more for more keys.
 SHARD_KEYS = 1 << 15
 #: A key that holds at least so large a part of all references is looked up before the shuffle: there are no more than this many.
 HOT_KEYS = 4096
@@ -248,8 +248,8 @@ class LineStore:
         path = self._write(gathered(counts, rows, PART_ROWS), "counts", n)
         counts = self.spark.read.parquet(path)
         keys, shards = self.heavy(counts).count(), old["shards"]
-        if keys > 2 * shards * SHARD_KEYS:
-            shards = -(-keys // SHARD_KEYS)
+        if not old["counts"] or keys > 2 * shards * SHARD_KEYS:
+            shards = max(shards, width(self.spark), -(-keys // SHARD_KEYS))
         filters = self._write(self._filters(counts, shards, shards == old["shards"] and bool(old["counts"])), "filters", n)
         if len(refs) > self.COMPACTED:
             refs = [self._write(self.spark.read.parquet(*refs).groupBy("id", "key").agg(F.sum("delta").cast("int").alias("delta")).where("delta > 0"), "refs-compacted", n)]
@@ -315,7 +315,7 @@ class LineStore:
         filters = self.spark.read.parquet(self.state["filters"]).select("shard", F.lit(0).alias("what"), nothing.cast(kind).alias("id"), F.col("filter").alias("key"))
         exact = heavy.where(F.col("n_docs") * HOT_KEYS < total).select(shard, F.lit(1).alias("what"), F.col("last_id").cast(kind).alias("id"), "key")
         lines = marked.where(F.col("last").isNull()).select(shard, F.lit(2).alias("what"), "id", "key")
-        dealt = filters.union(exact).union(lines).repartition(width(self.spark), "shard").sortWithinPartitions("shard", "what")
+        dealt = filters.union(exact).union(lines).repartitionById(width(self.spark), F.col("shard").cast("int")).sortWithinPartitions("shard", "what")
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, filter_, last = None, None, {}
