@@ -250,16 +250,16 @@ def nfc(spark, sf_dir):
     return M.mask(rows, "text", ("k",)).select("k", "text_masked")
 
 
-DICTIONARY = ["# клиенты", "Ромашка", "Ромашка Трейд", "FinClever | проект", "аб"]
+DICTIONARY = ["# клиенты", "Ромашка", "Ромашка Трейд", "NordLight | проект", "аб"]
 
 
 @query(
     """
-SELECT s_suppkey AS k, concat('[КОМПАНИЯ_1], [КОМПАНИЯ_2] и [ПРОЕКТ_1], лот ', cast(s_suppkey AS STRING)) AS text_masked, 'Ромашкой Трейд|finclever|Ромашке' AS originals FROM supplier"""
+SELECT s_suppkey AS k, concat('[КОМПАНИЯ_1], [КОМПАНИЯ_2] и [ПРОЕКТ_1], лот ', cast(s_suppkey AS STRING)) AS text_masked, 'Ромашкой Трейд|nordlight|Ромашке' AS originals FROM supplier"""
 )
 def dictionary_mask(spark, sf_dir):
     """Dictionary values in any inflection, the longest first."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("Ромашкой Трейд, Ромашке и finclever, лот "), F.col("s_suppkey").cast("string")).alias("text"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("Ромашкой Трейд, Ромашке и nordlight, лот "), F.col("s_suppkey").cast("string")).alias("text"))
     made = M.mask(rows, "text", ("k",), config=Config(dictionary=tuple(parse(DICTIONARY))))
     return made.select("k", "text_masked", F.array_join(F.transform("keys", lambda x: x["original"]), "|").alias("originals"))
 

@@ -131,9 +131,9 @@ def test_preprocess():
 
 
 def test_dictionary():
-    entries = parse(["# x", "", "Ромашка", "Ромашка Трейд ", "FinClever | проект", "аб", "Мир|", "Юг | адрес", "Югра | адрес"])
-    assert [(e.value, e.label, e.type_id) for e in entries] == [("Ромашка Трейд", "КОМПАНИЯ", "company"), ("FinClever", "ПРОЕКТ", "project"), ("Ромашка", "КОМПАНИЯ", "company"), ("Югра", "АДРЕС", "адрес"), ("Мир", "КОМПАНИЯ", "company")]
-    out, _ = masked("Ромашкой Трейд, ромашке, FINCLEVER, Ромашкин2", dictionary=tuple(entries))
+    entries = parse(["# x", "", "Ромашка", "Ромашка Трейд ", "NordLight | проект", "аб", "Мир|", "Юг | адрес", "Югра | адрес"])
+    assert [(e.value, e.label, e.type_id) for e in entries] == [("Ромашка Трейд", "КОМПАНИЯ", "company"), ("NordLight", "ПРОЕКТ", "project"), ("Ромашка", "КОМПАНИЯ", "company"), ("Югра", "АДРЕС", "адрес"), ("Мир", "КОМПАНИЯ", "company")]
+    out, _ = masked("Ромашкой Трейд, ромашке, NORDLIGHT, Ромашкин2", dictionary=tuple(entries))
     assert out == "[КОМПАНИЯ_1], [КОМПАНИЯ_2], [ПРОЕКТ_1], Ромашкин2"
 
 
